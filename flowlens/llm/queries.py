@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, shared, token_files
+from . import exact_dedup, language, packing, sentencepiece_codec, sharding, shared, simhash, substring_dedup, token_files, toxicity, vector_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -17,17 +17,37 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(shared.table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_bytes(shared.table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
     crc = F.crc32(shared.text_or_empty().cast("binary"))
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learned_and_identified(shared.table(spark, sf_dir, "documents"))
+
+
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(shared.table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learned_and_scored(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(shared.table(spark, sf_dir, "documents"))
 
@@ -38,11 +58,32 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, manifest)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of what they decode to."""
+    model = vocabulary("piece_bpe_32k.model")
+    decoded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(shared.table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op4_language": op4_language,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
+    "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
