@@ -2,7 +2,7 @@
 
 Documents in ascending order of identifier form one stream of ids, each followed by an end id. A task writes its range
 of documents as sequences of equal length in record batches of the Arrow file format; a mask of equal shape has 1 for
-ids and 0 for the padding at a file's end. A second small Arrow file beside it says where each document starts.
+ids and 0 for the padding at a file's end. Ids are 16 bits wide where the vocabulary allows, and the mask one. A second small Arrow file beside it says where each document starts.
 Readers map the files into memory, so any sequence or document is reached without decoding what stands before it.
 
 Defined cases: a null text is empty and has the end id alone; rows with one identifier follow each other in order of
@@ -33,15 +33,16 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 _MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
-def _schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def _schema(sequence: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, sequence: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode, schema = TaskContext.get().partitionId(), encoder(tokenizer).encode, _schema(sequence)
+        part, words = TaskContext.get().partitionId(), encoder(tokenizer)
+        encode, schema = words.encode, _schema(sequence, max(len(words.lengths) - 1, end_id) >= 1 << 16)
         path, step = f"{folder}/part-{part:06d}", BATCH * sequence
         docs = tokens = 0
         held = bytearray()
@@ -51,9 +52,9 @@ def _writer(folder: str, tokenizer: str, end_id: int, sequence: int):
                 ids = np.frombuffer(bytes(held[: n * 4]), "<u4")
                 del held[: n * 4]
                 rows = -(-n // sequence)
-                flat, mask = np.zeros(rows * sequence, np.uint32), np.zeros(rows * sequence, np.uint8)
-                flat[:n], mask[:n] = ids, 1
-                file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), sequence) for x in (flat, mask)], schema=pa.schema([(f.name, pa.list_(f.type.value_type, sequence)) for f in schema])))
+                flat, mask = np.zeros(rows * sequence, schema.field("ids").type.value_type.to_pandas_dtype()), np.zeros(rows * sequence, bool)
+                flat[:n], mask[:n] = ids, True
+                file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((flat, mask), schema)], schema=schema))
 
             for batch in batches:
                 for a in range(0, batch.num_rows, TEXTS):
@@ -101,11 +102,11 @@ def _read(spark: SparkSession, manifest: DataFrame, ddl: str, finish) -> DataFra
     return listed.mapInArrow(_reader(finish), ddl)
 
 
-def _with_ids(pieces: list[memoryview]) -> bytes:
+def _with_ids(pieces: list[bytes]) -> bytes:
     return b"".join(pieces)
 
 
-def _with_crc(pieces: list[memoryview]) -> int:
+def _with_crc(pieces: list[bytes]) -> int:
     crc = 0
     for x in pieces:
         crc = zlib.crc32(x, crc)
@@ -130,7 +131,7 @@ def _reader(finish):
                                     at = start // step
                                     flat = file.get_batch(at).column("ids").flatten().to_numpy()
                                 stop = min(end, (at + 1) * step)
-                                pieces.append(memoryview(flat[start - at * step : stop - at * step]).cast("B"))
+                                pieces.append(flat[start - at * step : stop - at * step].astype("<u4", copy=False).tobytes())
                                 start = stop
                             out.append(finish(pieces))
                         ids = own["doc_id"].to_numpy()

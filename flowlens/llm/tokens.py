@@ -12,9 +12,11 @@ import re
 import numpy as np
 
 #: Parts that a worker remembers; beyond that it starts anew.
-MOST_PARTS = 700_000
+MOST_PARTS = 1_500_000
 #: Parts that are encoded as one string.
 _JOINED = 500
+#: Marks that often end a part.
+_MARKS = (",", ".")
 _ODD_SPACE = re.compile(r" (?=\s)| \Z")
 _CUT = re.compile(r" (?=\S)")
 
@@ -28,6 +30,17 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _plain(text: str) -> bool:
+    """Whether all characters are of Latin-1, where each has one lower form and none combines."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     def __init__(self, path: str):
         import os
@@ -44,16 +57,27 @@ class WordEncoder:
         self.ends = np.array([x.endswith("</w>") for x in names])
         self.lengths = np.array([len(x) for x in names])
         self.parts: dict[str, bytes] = {}
+        self.tails = {x: self._alone(x) for x in _MARKS}
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > MOST_PARTS:
+        if len(self.parts) + 2 * len(parts) > MOST_PARTS:
             self.parts.clear()
-        if self.marks_ends:  # a part has as many words as its marks say, so it is encoded alone if it has several
-            self._learn_marked(parts)
-            return
+        # after a Latin-1 letter, a mark begins a new word in either vocabulary, so its ids follow those of the part without it
+        marked = [x for x in parts if x[-1:] in _MARKS and x[-2:-1].isalpha() and x[-2] < "\u0100"]
+        whole = set(parts).difference(marked)
+        whole.update(x[:-1] for x in marked)
+        whole = [x for x in whole if x not in self.parts]
+        if self.marks_ends:
+            self._learn_marked(whole)
+        else:
+            self._learn_spaced(whole)
+        known, tails = self.parts, self.tails
+        self.parts.update((x, known[x[:-1]] + tails[x[-1]]) for x in marked)
+
+    def _learn_spaced(self, parts: list[str]) -> None:
         groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
         encoded = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, encoded):
@@ -74,9 +98,10 @@ class WordEncoder:
             (simple if n else odd).append(x)
             if n:
                 counts.append(n)
-        for i in range(0, len(simple), _JOINED):
-            group, own = simple[i : i + _JOINED], counts[i : i + _JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+        groups = [simple[i : i + _JOINED] for i in range(0, len(simple), _JOINED)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for i, group, found in zip(range(0, len(simple), _JOINED), groups, encoded):
+            own, ids = counts[i : i + _JOINED], np.array(found.ids, np.uint32)
             ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
             last = np.cumsum(own)
             if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
@@ -90,15 +115,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.marks_ends:  # that vocabulary folds case itself; where folding is plain, do it before parts are told apart
+            texts = [x.lower() if _plain(x) else x for x in texts]
         split = [_CUT.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
         seen: set[str] = set()
         for parts in split:
             seen.update(parts if self.marks_ends else parts[1:])
         if missing := list(seen - self.parts.keys()):
-            before = len(self.parts)
             self._learn(missing)
-            if len(self.parts) < before + len(missing):  # it was cleared
-                self._learn([x for x in seen if x not in self.parts])
+            if gone := [x for x in seen if x not in self.parts]:  # it was cleared
+                self._learn(gone)
         get = self.parts.__getitem__
         if self.marks_ends:
             return [b"".join(map(get, parts)) for parts in split]
