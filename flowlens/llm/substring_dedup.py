@@ -36,6 +36,8 @@ GRAM = 24
 SNIPPET = 64
 #: Transforms that a bucket merges.
 SHARDS = 4
+#: Bytes of snippets that are merged at once; snippets of one anchor stay together.
+MERGED = 1 << 20
 #: Bytes of text whose anchors are worked out at once.
 CHUNK = 1 << 17
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -221,10 +223,20 @@ def _merged(table: pa.Table) -> pa.Table:
         sent.append(at)
     least, anchors, strings = np.array(least, np.int64), np.array(anchors, np.uint64), list(numbers)
     # an anchor with one snippet needs no merging: its windows have no other place
-    _, of, count = np.unique(anchors, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[of] > 1)
-    string, offset, low = least_of_windows([strings[i] for i in several.tolist()], least[several], WINDOW, SHARDS)
-    string = several[string] if len(string) else string
+    order = np.argsort(anchors, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]])) if len(order) else order
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    held, size = [], 0
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+        if b - a > 1:
+            held += order[a:b].tolist()
+            size += sum(len(strings[i]) for i in order[a:b].tolist())
+        if held and (size >= MERGED or b == len(order)):
+            own = np.array(held)
+            string, offset, low = least_of_windows([strings[i] for i in held], least[own], WINDOW, SHARDS)
+            found.append((own[string], offset, low))
+            held, size = [], 0
+    string, offset, low = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(string, kind="stable")
     string, offset, low = string[order], offset[order], low[order]
     rows = []
@@ -300,7 +312,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
     # a task's documents are a block
     base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = shared.partitions_for(spark, total, 32 << 20)
+    buckets = shared.partitions_for(spark, total, 16 << 20)
     sent = base.select("block", "text").mapInArrow(_anchors(buckets), "bucket int, block int, anchors binary, several binary")
     common = shared.written(sent.groupBy("bucket").applyInArrow(_shared_anchors, "block int, anchors binary"), "anchors")
     pieces = base.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")

@@ -21,8 +21,8 @@ class Shard:
         joined[is_symbol] = symbols
         left = np.repeat(ends, lengths + 1) - np.arange(n)
         self.suffix = _sorted_suffixes(joined, left)
-        place = np.empty(n, np.int64)
-        place[self.suffix] = np.arange(n)
+        place = np.empty(n, np.int32)
+        place[self.suffix] = np.arange(n, dtype=np.int32)
         starts = np.zeros(n, bool)
         starts[0] = True
         starts[ends[:-1] + 1] = True
@@ -78,8 +78,8 @@ def repeated(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, n
     sizes = np.array([len(s.suffix) for s in shards])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     before = np.concatenate([s.before for s in shards])
-    back = np.concatenate([s.back + f for s, f in zip(shards, first)])
-    order, interval = np.arange(int(sizes.sum())), np.zeros(int(sizes.sum()), np.int64)
+    back = np.concatenate([s.back + np.int32(f) for s, f in zip(shards, first)])
+    order, interval = np.arange(int(sizes.sum()), dtype=np.int32), np.zeros(int(sizes.sum()), np.int32)
     for _ in range(depth):
         symbol = before[order]
         on = symbol != 0
@@ -89,7 +89,7 @@ def repeated(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, n
         border = np.ones(len(order) + 1, bool)
         border[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
         together = ~(border[:-1] & border[1:])
-        interval = np.cumsum(border[:-1])[together]
+        interval = np.cumsum(border[:-1], dtype=np.int32)[together]
         order = order[together]
         if not len(order):
             break
