@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowlens.functions.decode import transport_only
 
@@ -14,8 +15,17 @@ PREFIX = "flowlens"
 
 def totals(frames: DataFrame, classified: DataFrame) -> DataFrame:
     """One row: all frames and their bytes, parse errors; packets past the gate, by transport, forwarded and dropped."""
-    every = frames.agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("frame_bytes"), F.lit(0)).alias("frame_bytes"), F.count_if(~F.col("parse_ok")).alias("parse_errors"))
-    return every.crossJoin(transport_totals(classified).join(forward_drop(classified)))  # one row each
+    gate = F.col("parse_ok") & F.col("has_ip") & (F.col("has_tcp") | F.col("has_udp"))
+    every = frames.agg(
+        F.count(F.lit(1)).alias("frames"),
+        F.coalesce(F.sum("frame_bytes"), F.lit(0)).alias("frame_bytes"),
+        F.count_if(~F.col("parse_ok")).alias("parse_errors"),
+        F.count_if(gate).alias("packets"),
+        F.coalesce(F.sum(F.when(gate, F.col("frame_bytes"))), F.lit(0)).alias("bytes"),
+        F.count_if(gate & F.col("has_tcp")).alias("tcp_packets"),
+        F.count_if(gate & F.col("has_udp")).alias("udp_packets"),
+    )
+    return every.crossJoin(forward_drop(classified))  # one row each
 
 
 def transport_totals(packets: DataFrame) -> DataFrame:
@@ -31,10 +41,13 @@ def forward_drop(classified: DataFrame) -> DataFrame:
 def app_packets(classified: DataFrame) -> DataFrame:
     """Packets and bytes of each application, at the packets' time, with share of all and a bar of # for each 5 %."""
     out = classified.groupBy("app").agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_bytes").alias("bytes"))
-    total = out.agg(F.sum("packets").alias("_total"))
-    share = 100.0 * F.col("packets") / F.col("_total")
-    # one row per application, and one for the total
-    return out.crossJoin(F.broadcast(total)).select("app", "packets", "bytes", share.alias("share"), F.repeat(F.lit("#"), F.floor(share / 5).cast("int")).alias("bar"))
+    share = 100.0 * F.col("packets") / _all("packets")
+    return out.select("app", "packets", "bytes", share.alias("share"), F.repeat(F.lit("#"), F.floor(share / 5).cast("int")).alias("bar"))
+
+
+def _all(column: str):
+    """The sum over all rows: one for each application, so few."""
+    return F.sum(column).over(Window.partitionBy(F.lit(0)))
 
 
 def names_seen(classified: DataFrame) -> DataFrame:
@@ -50,7 +63,7 @@ def flows_by(flows: DataFrame, column: str) -> DataFrame:
 def app_flows(flows: DataFrame) -> DataFrame:
     """Flows of each application with their share."""
     out = flows.groupBy("app").agg(F.count(F.lit(1)).alias("flows"))
-    return out.crossJoin(F.broadcast(out.agg(F.sum("flows").alias("_total")))).select("app", "flows", (100.0 * F.col("flows") / F.col("_total")).alias("share"))
+    return out.select("app", "flows", (100.0 * F.col("flows") / _all("flows")).alias("share"))
 
 
 def classification_totals(flows: DataFrame) -> DataFrame:
