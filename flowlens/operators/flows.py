@@ -81,3 +81,35 @@ def first_flows(packets: DataFrame, key: list[str], n: int, order: str = "frame_
 def top_domains(rows: DataFrame, column: str, n: int = 20) -> DataFrame:
     """The n most frequent names, ties in order of name."""
     return rows.filter(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def tcp_states(packets: DataFrame, order: str = "frame_no") -> DataFrame:
+    """The state that each bidirectional TCP flow ends in, with its flags.
+
+    Established needs a SYN, an answer to it, and an acknowledgement from then on; closed a reset, or an
+    acknowledgement with or after a FIN.
+    """
+    own = canonical(packets.filter("has_tcp"))
+    flag = lambda bit: F.col("tcp_flags").bitwiseAND(F.lit(bit)) != 0
+    first = lambda test: F.min(F.when(test, F.col(order)))
+    last_ack = F.max(F.when(flag(0x10), F.col(order)))
+    out = own.groupBy(*CANONICAL_KEY).agg(first(flag(0x02) & ~flag(0x10)).alias("_syn"), first(flag(0x02) & flag(0x10)).alias("_answer"), first(flag(0x01)).alias("_fin"), first(flag(0x04)).alias("_rst"), last_ack.alias("_ack"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    established = yes(F.col("_ack") >= F.greatest("_syn", "_answer")) & F.col("_syn").isNotNull() & F.col("_answer").isNotNull()
+    closed = F.col("_rst").isNotNull() | yes(F.col("_ack") >= F.col("_fin"))
+    return out.select(
+        *CANONICAL_KEY,
+        F.col("_syn").isNotNull().alias("syn"),
+        F.col("_answer").isNotNull().alias("syn_ack"),
+        F.col("_fin").isNotNull().alias("fin"),
+        F.col("_rst").isNotNull().alias("rst"),
+        established.alias("established"),
+        F.when(closed, "CLOSED").when(established, "ESTABLISHED").otherwise("NEW").alias("state"),
+    )
+
+
+def replay(frames: DataFrame, times: int, seconds: int) -> DataFrame:
+    """Frames again and again, each round `seconds` later and numbered on from the one before."""
+    count = frames.agg(F.coalesce(F.max("frame_no") + 1, F.lit(0)).alias("n")).first()["n"]
+    rounds = frames.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))) if times > 0 else F.explode(F.array().cast("array<int>")))
+    return rounds.withColumns({"frame_no": F.col("frame_no") + F.col("_round") * F.lit(count), "ts_sec": F.col("ts_sec") + F.col("_round") * seconds}).drop("_round")

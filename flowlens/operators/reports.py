@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowlens.functions import text
 from flowlens.functions.decode import transport_only
 
 PREFIX = "flowlens"
@@ -77,6 +78,19 @@ def worker_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy(F.spark_partition_id().alias("worker")).agg(F.count(F.lit(1)).alias("packets"), F.count_if("blocked").alias("dropped"))
 
 
+def packet_dump(packets: DataFrame) -> DataFrame:
+    """frame_no and a text of several lines for each packet: time, link, addresses, transport and the payload's first bytes."""
+    c, line = F.col, F.format_string
+    head = line("Packet #%d  %s.%06d  %d bytes", c("frame_no") + 1, F.date_format(F.timestamp_seconds("ts_sec"), "yyyy-MM-dd HH:mm:ss"), c("ts_usec"), c("frame_bytes"))
+    link = F.when(c("dst_mac").isNotNull(), line("  Ethernet  %s -> %s  type 0x%04x", c("src_mac"), c("dst_mac"), c("ether_type")))
+    ip = F.when(c("has_ip"), line("  IPv4      %s -> %s  ttl %d  %s", c("src_ip"), c("dst_ip"), c("ttl"), text.protocol_text(c("protocol"))))
+    tcp = F.when(c("has_tcp"), line("  TCP       %d -> %d  seq %d  ack %d  [%s]", c("src_port"), c("dst_port"), c("seq"), c("ack"), text.tcp_flags_text(c("tcp_flags"))))
+    udp = F.when(c("has_udp"), line("  UDP       %d -> %d", c("src_port"), c("dst_port")))
+    body = F.when(c("payload_length") > 0, line("  Payload   %d bytes  %s%s", c("payload_length"), text.payload_preview(c("payload")), F.when(c("payload_length") > 32, " ...").otherwise("")))
+    bad = F.when(~c("parse_ok"), "  (not decoded)")
+    return packets.select("frame_no", F.concat_ws("\n", head, link, ip, tcp, udp, body, bad).alias("text"))
+
+
 def escaped_label(text: str) -> str:
     return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
 

@@ -231,6 +231,17 @@ def test_directions_and_sessions(spark, sample):
     assert [r.session for r in flows.idle_sessions(df, ["flow"]).orderBy("frame_no").collect()] == [0, 0, 0, 1, 1]
 
 
+def test_states_replay_and_dump(spark, sample):
+    ends = [syn.frame("1.1.1.1", "2.2.2.2", 9, 443, flags=syn.RST), syn.frame("1.1.1.3", "2.2.2.2", 9, 443, flags=syn.FIN), syn.frame("1.1.1.3", "2.2.2.2", 9, 443, flags=syn.ACK)]
+    states = flows.tcp_states(sample.unionByName(packets(spark, ends))).groupBy("state").count().collect()
+    assert {r["state"]: r["count"] for r in states} == {"ESTABLISHED": 16, "NEW": 7, "CLOSED": 2}
+    frames = spark.createDataFrame(syn.frame_rows(syn.sample_frames()), FRAMES)
+    again = flows.replay(frames, 3, 10)
+    assert again.agg(F.count("*"), F.countDistinct("frame_no"), F.max("frame_no")).first()[:] == (231, 231, 230) and flows.replay(frames, 0, 1).count() == 0
+    lines = [r.text for r in reports.packet_dump(sample).orderBy("frame_no").limit(4).collect()]
+    assert lines[0].startswith("Packet #1  2023-11-14 22:13:20.000000  54 bytes\n  Ethernet") and "[SYN]" in lines[0] and lines[3].endswith(" ...")
+
+
 def test_captures(spark, tmp_path):
     engine = Engine(spark)
     items = syn.sample_frames()
