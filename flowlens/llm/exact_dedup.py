@@ -103,6 +103,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per row of docs: its identifier, keep_id, group_size, kept and text_sha256 of the normalised text."""
+    shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     partitions = partitions or shared.partitions_for(spark, 0)
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.space_normalised(shared.text_or_empty(text_col)).alias("text"))

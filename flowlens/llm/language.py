@@ -167,6 +167,7 @@ def _predictor(model: Model):
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    shared.bound_batches(docs.sparkSession)
     """(id, held_out, lang_pred, score) for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), shared.held_out(id_col).alias("held_out"), shared.text_or_empty(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(_predictor(model), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

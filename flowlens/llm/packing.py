@@ -58,6 +58,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    shared.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), shared.text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids), _PIECES + ", ids binary" * with_ids)
 

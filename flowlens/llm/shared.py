@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -29,11 +28,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
 
 
+#: Settings of Arrow batches -> Spark's value, and the one that holds here: texts differ in length by orders of magnitude.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between JVM and Python, unless the session has a bound of its own."""
+    for key, (usual, bound) in _BATCHES.items():
+        if usual is None or spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, bound)
+
+
+#: Whether a query's shuffle files go when it ends.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    usual = spark.conf.get(_CLEANED, "false")
+    spark.conf.set(_CLEANED, "true")  # what the table is made from is not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowlens_path = path
     return out
@@ -50,12 +69,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions_for(spark: SparkSession, total_bytes: int, each: int = 16 << 20) -> int:
     """As many partitions as give `each` bytes to a task, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / each), 1)

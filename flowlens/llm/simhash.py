@@ -63,6 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
+    shared.bound_batches(docs.sparkSession)
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.text_or_empty(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, "id long, fp long")
 

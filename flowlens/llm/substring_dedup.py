@@ -37,7 +37,7 @@ SNIPPET = 64
 #: Transforms that a bucket merges.
 SHARDS = 4
 #: Bytes of snippets that are merged at once; snippets of one anchor stay together.
-MERGED = 1 << 20
+MERGED = 1 << 19
 #: Bytes of text whose anchors are worked out at once.
 CHUNK = 1 << 17
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -256,7 +256,7 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
 
 def _removed(with_bytes: bool):
     def remove(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """Each document's length, removed bytes, spans and digest or bytes of the rest."""
+        """Each document's length, removed bytes, spans, and the digest of the rest, or its bytes where something is removed."""
         names = ["sha", "least", "n_bytes", "n_removed", "n_spans", "kept"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_bytes else pa.string()]
         if not len(docs):
@@ -298,7 +298,7 @@ def _removed(with_bytes: bool):
                 gone = int(covered.sum())
                 spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                 rest = np.frombuffer(text, np.uint8)[~covered].tobytes()
-            rows.append((sha, own, len(text), gone, spans, rest if with_bytes else hashlib.sha256(rest).hexdigest()))
+            rows.append((sha, own, len(text), gone, spans, (rest if gone else None) if with_bytes else hashlib.sha256(rest).hexdigest()))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return remove
@@ -306,19 +306,19 @@ def _removed(with_bytes: bool):
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) -> DataFrame:
     """(sha, least, n_bytes, n_removed, n_spans, kept) for each distinct text; least: the smallest identifier with it."""
+    shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.text_or_empty(text_col).cast("binary").alias("text"))
     distinct = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("id", "text")).alias("r"))
     # a task's documents are a block
     base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = shared.partitions_for(spark, total, 16 << 20)
+    buckets = shared.partitions_for(spark, total, 4 << 20)
     sent = base.select("block", "text").mapInArrow(_anchors(buckets), "bucket int, block int, anchors binary, several binary")
     common = shared.written(sent.groupBy("bucket").applyInArrow(_shared_anchors, "block int, anchors binary"), "anchors")
     pieces = base.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")
     told = shared.written(pieces.groupBy("bucket").applyInArrow(_merged, "block int, anchors binary, numbers binary, least binary, w_number binary, w_offset binary, w_least binary"), "intervals")
     shared.dropped(common)
-    shared.released(spark)
     kept = "kept binary" if with_bytes else "kept string"
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_removed(with_bytes), f"sha string, least long, n_bytes long, n_removed long, n_spans long, {kept}")
     out = shared.written(out, "passages")
@@ -352,15 +352,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("string")
     def valid(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: x.decode("utf-8", "ignore"))
+        return parts.map(lambda x: x.decode("utf-8", "ignore"), na_action="ignore")
 
     sha = F.sha2(shared.text_or_empty(text_col).cast("binary"), 256)
-    changed = found.filter("n_removed > 0").select(F.col("__sha").alias("__changed"), valid("kept").alias("__kept"))
-    least = found.select("__sha", "least", "n_bytes")
-    rows = docs.withColumns({"__sha": sha, "__id": shared.id_or_last(id_col)}).join(least, "__sha")
-    rows = rows.filter((F.col("__id") <= F.col("least")) | (F.col("n_bytes") < WINDOW))
-    rows = rows.select(*[F.col(c) for c in docs.columns], "__sha").join(changed, F.col("__sha") == F.col("__changed"), "left")
-    rows = rows.filter(F.col("__changed").isNull() | (F.col("__kept") != ""))
-    text = F.when(F.col("__changed").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))
-    out = {text_col: text} | ({n_chars_col: F.when(F.col("__changed").isNotNull(), F.length("__kept")).otherwise(F.col(n_chars_col)).cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
+    rows = docs.withColumns({"__sha": sha, "__id": shared.id_or_last(id_col)}).join(found.select("__sha", F.col("least").alias("__least"), F.col("n_bytes").alias("__n"), F.col("kept").alias("__rest")), "__sha")
+    rows = rows.filter((F.col("__id") <= F.col("__least")) | (F.col("__n") < WINDOW))
+    changed = F.col("__rest").isNotNull()
+    rows = rows.withColumn("__kept", F.when(changed, valid(F.col("__rest")))).filter(~changed | (F.col("__kept") != ""))
+    out = {text_col: F.when(changed, F.col("__kept")).otherwise(F.col(text_col))}
+    if n_chars_col in docs.columns:
+        out[n_chars_col] = F.when(changed, F.length("__kept")).otherwise(F.col(n_chars_col)).cast(docs.schema[n_chars_col].dataType)
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

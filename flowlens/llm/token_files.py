@@ -78,6 +78,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, sequence: int):
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; a table with a row for each: part, path without ending, n_docs, n_tokens."""
+    shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.text_or_empty(text_col).alias("text"))
     in_order = rows.repartitionByRange(shared.partitions_for(spark, 0), "id").sortWithinPartitions("id", "text")

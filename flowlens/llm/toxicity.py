@@ -130,6 +130,7 @@ def _ratio(with_1, with_0, n_1, n_0):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted on about SAMPLE labelled documents, taken by hash."""
+    shared.bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     total = known.count()
     taken = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
