@@ -7,8 +7,8 @@ between two chunks of a text is the piece that reaches their border: its end bey
 chunk yields the matrix of greatest weights from each state on its left to each on its right, matrices are combined in
 pairs (the max-plus product is associative) until the states at all borders are known, and each chunk then traces its
 own path back from them. Texts beyond SEGMENT characters are spread over tasks this way; so are single runs without a
-space. Elsewhere a piece never crosses from another character to a space, which leaves one state there, and a worker
-remembers the paths of such short units.
+space. Elsewhere a piece never crosses from another character to a space, nor between two characters that are neighbours
+in no piece, which leaves one state there, and a worker remembers the paths of such short units.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters outside the vocabulary become
 their UTF-8 bytes; repeated rows are encoded each; an empty table gives an empty result. Other columns are never read.
@@ -34,7 +34,7 @@ SEGMENT = 32_768
 #: Units longer than this are scanned in pieces of it.
 UNIT = 1024
 #: Units and pairs that a worker remembers; beyond that it starts anew.
-MOST_UNITS, MOST_PAIRS = 600_000, 1_500_000
+MOST_UNITS, MOST_PAIRS = 500_000, 300_000
 _UNIT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -64,8 +64,13 @@ class Codec:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
         self.longest = max(map(len, self.ids))
+        #: Ids of units: of those that are a mark and a word, by the word; of others, by all of it.
+        self.words: dict[str, bytes] = {}
         self.unit_ids: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: Neighbouring characters within pieces: between any other two nothing merges, and a text's sides are independent.
+        self.joins = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
         #: Length of the longest piece that ends with a character, so that hopeless ends are not tried.
         self.reach: dict[str, int] = {}
         for piece in self.ids:
@@ -98,12 +103,14 @@ class Codec:
 
     def follows(self, x: str, y: str) -> bool:
         """Whether the weight of a step from piece x to piece y is 0, not minus infinity."""
-        key = (x, y)
-        found = self.pairs.get(key)
+        known = self.pairs.setdefault(x, {})
+        found = known.get(y)
         if found is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if self.n_pairs >= MOST_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = x + y not in self.ids and self.merged(x + y) == [x, y]
+                self.n_pairs, known = 0, self.pairs.setdefault(x, {})
+            self.n_pairs += 1
+            found = known[y] = x + y not in self.ids and self.merged(x + y) == [x, y]
         return found
 
     def scan(self, text: str, begin: int, end: int, entry: State | None) -> dict[int, State]:
@@ -182,24 +189,48 @@ class Codec:
         return _UNIT.findall(marked)
 
     def encode_units(self, units: list[str]) -> bytes:
-        known = self.unit_ids
         out = []
         for unit in units:
-            ids = known.get(unit)
+            word = unit[:1] == SPACE_MARK and SPACE_MARK not in unit[1:]
+            known, key = (self.words, unit[1:]) if word else (self.unit_ids, unit)
+            ids = known.get(key)
             if ids is None:
-                pieces = self.long_unit(unit) if len(unit) > UNIT else self.trace(self.scan(unit, 0, len(unit), None), len(unit))
-                ids = np.array(self.to_ids(pieces), "<u4").tobytes()
+                ids = self._unit(unit)
                 if len(unit) <= UNIT:
                     if len(known) >= MOST_UNITS:
                         known.clear()
-                    known[unit] = ids
+                    known[key] = ids
             out.append(ids)
         return b"".join(out)
 
+    def _unit(self, unit: str) -> bytes:
+        joins = self.joins
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in joins]
+        if cuts:
+            return self.encode_units([unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+        pieces = self.long_unit(unit) if len(unit) > UNIT else self.trace(self.scan(unit, 0, len(unit), None), len(unit))
+        return np.array(self.to_ids(pieces), "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
         return self.encode_units(self.units(text)) if text else b""
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; where single spaces part its words, these are looked up as they are."""
+        plain = [x.split(" ") if x and "  " not in x and SPACE_MARK not in x and x[0] != " " != x[-1] else None for x in texts]
+        seen: set[str] = set()
+        for words in plain:
+            seen.update(words or ())
+        missing = seen - self.words.keys()
+        if len(self.words) + len(missing) > MOST_UNITS:
+            self.words.clear()
+            missing = seen
+        found = {x: self._unit(SPACE_MARK + x) for x in missing}
+        self.words.update(found)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) if words else b"" for words in plain]
+        return [self.encode(x) if words is None else ids for x, words, ids in zip(texts, plain, out)]
+
     def decode(self, ids: bytes) -> str:
         raw = bytearray()
         pieces, as_byte = self.pieces, {i: b for b, i in self.bytes.items()}
@@ -247,7 +278,7 @@ def _encoder(model: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            ids = [own.encode(x) for x in batch.column("text").to_pylist()]
+            ids = own.encode_all(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     return encode
@@ -351,6 +382,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(id, ids) for each row of docs: the ids as little-endian unsigned 32-bit integers."""
+    shared.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), shared.text_or_empty(text_col).alias("text"))
     short = rows.filter(F.length("text") <= segment).mapInArrow(_encoder(model), "id long, ids binary")
     # numbers are fixed once the segments are written
