@@ -34,7 +34,7 @@ SEGMENT = 32_768
 #: Units longer than this are scanned in pieces of it.
 UNIT = 1024
 #: Units and pairs that a worker remembers; beyond that it starts anew.
-MOST_UNITS, MOST_PAIRS = 500_000, 300_000
+MOST_UNITS, MOST_PAIRS = 800_000, 400_000
 _UNIT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
