@@ -3,6 +3,11 @@
 Both public vocabularies treat words apart: the byte-level one never joins a space with what stands before it, the
 other drops white space. So a text's ids are the ids of its parts, cut where a space precedes other characters. The
 parts' ids are kept in a bounded store of the Python worker, and parts not yet in it are encoded many at a time.
+
+A text that holds the string of an added token (such as an end mark) is given to the library whole, which makes that
+string one id. With `added_as_text` such strings are ordinary text.
+
+Defined cases: an empty text has no ids; a text of any length, without spaces too, has the library's ids.
 """
 
 from __future__ import annotations
@@ -20,14 +25,14 @@ _MARKS = (",", ".")
 _ODD_SPACE = re.compile(r" (?=\s)| \Z")
 _CUT = re.compile(r" (?=\S)")
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, added_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, added_as_text) not in _ENCODERS:
+        _ENCODERS[path, added_as_text] = WordEncoder(path, added_as_text)
+    return _ENCODERS[path, added_as_text]
 
 
 def _plain(text: str) -> bool:
@@ -42,14 +47,18 @@ def _plain(text: str) -> bool:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Parts are ordinary text: folding can make an added token's string of one that is none.
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: The library finds a normalised token after folding, so its string is sought in folded text here.
+        self.added = [] if added_as_text else [(x.content, x.normalized) for x in added]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         #: Word ends are marked in the vocabulary that drops spaces; in the other, a name has a letter for each byte.
@@ -62,6 +71,17 @@ class WordEncoder:
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _holds_added(self, text: str) -> bool:
+        return any(x in (self.tokenizer.normalizer.normalize_str(text) if folded and self.tokenizer.normalizer else text) for x, folded in self.added)
+
+    def _by_library(self, text: str) -> bytes:
+        """The ids of a text with added tokens."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._alone(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _learn(self, parts: list[str]) -> None:
         if len(self.parts) + 2 * len(parts) > MOST_PARTS:
             self.parts.clear()
@@ -115,6 +135,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        whole = {k: self._by_library(x) for k, x in enumerate(texts) if self._holds_added(x)}
+        if whole:
+            rest = iter(self._by_parts([x for k, x in enumerate(texts) if k not in whole]))
+            return [whole[k] if k in whole else next(rest) for k in range(len(texts))]
+        return self._by_parts(texts)
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         if self.marks_ends:  # that vocabulary folds case itself; where folding is plain, do it before parts are told apart
             texts = [x.lower() if _plain(x) else x for x in texts]
         split = [_CUT.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]

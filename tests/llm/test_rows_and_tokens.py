@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from flowlens.llm import exact_dedup, packing, queries, sharding, token_files
+from flowlens.llm import exact_dedup, packing, queries, sharding, token_files, tokens
 from tests.llm import cases
 
 LAST = 2**63 - 1
@@ -84,10 +84,29 @@ def _ids(name, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+_VOCABULARIES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+@pytest.mark.parametrize("name", _VOCABULARIES)
+def test_ids_of_added_tokens(name):
+    """Strings of added tokens, alone, in words, in other case, repeated, and cut short, give the library's ids."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary(name))
+    strings = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = [form.format(s) for s in strings for form in ("{0}", "a {0} b", "a{0}b", "{0}{0}", " {0}", "{0} ", "x  {0}\n{0} y.", "é {0} Ж")]
+    texts += [x.upper() for x in texts] + [s[:-1] for s in strings] + ["plain text", "", " "]
+    own = tokens.encoder(queries.vocabulary(name))
+    found = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert found == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    t.encode_special_tokens = True
+    as_text = tokens.encoder(queries.vocabulary(name), added_as_text=True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in as_text.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
