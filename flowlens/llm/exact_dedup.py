@@ -5,8 +5,9 @@ whole texts of neighbours are compared. The order is by the first bytes, then by
 small however long the texts are; equality is decided on whole texts only. A group may span partitions: each partition
 reports its first and last run, and one pass over those edges (two for each partition) joins the runs that continue.
 
-Defined cases: a null text counts as empty; a null identifier counts as larger than any other; of rows repeated with
-one identifier the first in order stays; an empty table gives an empty result; other columns are never read.
+Defined cases: a null text counts as empty; a null identifier counts as larger than any other, and so does 2^63 - 1,
+which stands for it; of rows repeated with one identifier and text one is kept, in exact_dedup the one with the
+smallest hash of all its columns; an empty table gives an empty result; other columns travel unchanged or are not read.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: its identifier, keep_id, group_size, kept and text_sha256 of the normalised text."""
     shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    partitions = partitions or shared.partitions_for(spark, 0)
+    partitions = partitions or shared.partitions_for(spark, shared.planned_bytes(docs), 64 << 20)
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.space_normalised(shared.text_or_empty(text_col)).alias("text"))
     rows = rows.withColumn("head", F.substring(F.col("text").cast("binary"), 1, HEAD_BYTES)).withColumn("sha", F.sha2("text", 256))
     in_order = rows.repartitionByRange(partitions, "head", "sha", "id").sortWithinPartitions("head", "sha", "text", "id")
@@ -126,9 +127,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    groups = shared.written(exact_groups(docs, id_col, text_col), "groups")
+    marked = groups.groupBy(shared.id_or_last(id_col).alias("id"), F.col("text_sha256").alias("key")).agg((~F.max("kept")).alias("gone"), F.count(F.lit(1)).alias("n"))
     sha = F.sha2(shared.space_normalised(shared.text_or_empty(text_col)), 256)
-    rows = docs.withColumns({"__own_id": shared.id_or_last(id_col), "__own_sha": sha})
-    kept = kept.select(shared.id_or_last("__id").alias("__own_id"), F.col("__sha").alias("__own_sha"))
-    rows = rows.join(kept, ["__own_id", "__own_sha"], "left_semi")
-    return rows.dropDuplicates(["__own_id", "__own_sha"]).select(*docs.columns)
+    return shared.without(docs, marked.filter("gone or n > 1"), sha, id_col)
