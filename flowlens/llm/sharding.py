@@ -8,7 +8,7 @@ identifier. Rows then move once, straight to their range.
 
 Defined cases: a null text has no bytes; size is the bytes plus 8; a null identifier counts as larger than any other;
 rows repeated with one identifier and text have one key and stay together; an empty table gives an empty result. Other
-columns travel along unchanged.
+columns travel along unchanged, but for those with the results' names.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ ROW_BYTES = 8
 #: Probes within each range that is refined.
 PROBES = 48
 #: Allowed distance of a shard's splitter from its target, as a share of a shard; of a finer splitter, of a fine range.
-SHARD_TOLERANCE, RANGE_TOLERANCE = 0.001, 0.02
+#: Fine ranges only size the tasks that number the rows, so nearly all of theirs are found in the first round.
+SHARD_TOLERANCE, RANGE_TOLERANCE = 0.001, 0.25
 #: Most ranges, so that what the driver holds of them has a bound; beyond 64 MB x this, a range's sort spills more.
 MOST_RANGES = 20_000
+#: Ranges that one round refines at most, shards' borders first: no more than PROBES rows each come to the driver.
+REFINED = 2_000
 LOWEST = -(2**63)
 
 Key = tuple[int, int]
@@ -96,25 +99,30 @@ def splitters(keys: DataFrame, shards: int, fine: int) -> list[Splitter]:
             bytes_, n = bytes_ + r["bytes"], n + r["rows"]
         ends = [s for s, _, _ in ranges[1:]] + [Splitter((2**63 - 1, 2**63 - 1), bytes_, n)]
         starts = np.array([s.bytes for s, _, _ in ranges])
-        probes = set()
-        for t in [t for t in targets if t not in found]:
+        probes, refined = set(), 0
+        for t in sorted((t for t in targets if t not in found), key=lambda t: (t % fine != 0, t)):
             at = int(np.searchsorted(starts, targets[t], "right")) - 1
             left, high, _ = ranges[at]
             near = min((left, ends[at]), key=lambda s: abs(s.bytes - targets[t]))
             if abs(near.bytes - targets[t]) <= allowed[t] or left.key == high:
                 found[t] = near
             else:
-                probes |= {left.key, ends[at].key, *_between(left.key, high)}
+                probes |= {left.key, ends[at].key, *(_between(left.key, high) if refined < REFINED else ())}
+                refined += 1
         probes = sorted(probes)
     return sorted(found.values(), key=lambda s: s.key)
 
 
 def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with columns size, shard (0 to shards - 1, nearly equal bytes) and slot (place in the shard, gapless from 0)."""
+    """docs with columns size, shard (0 to shards - 1, nearly equal bytes) and slot (place in the shard, gapless from 0).
+
+    Columns of docs with one of these three names give way to the results; read what is needed of them before.
+    """
     spark = docs.sparkSession
-    text = shared.text_or_empty(text_col)
-    rows = docs.withColumns({"__h": F.xxhash64(text), "__id": shared.id_or_last(id_col), "size": F.octet_length(text).cast("long") + ROW_BYTES})
-    keys = shared.written(rows.select(F.col("__h").alias("h"), F.col("__id").alias("id"), "size"), "keys")
+    text, at_hash, at_id, at_range = shared.text_or_empty(text_col), *shared.fresh(docs, "hash", "id", "range")
+    placed = {at_hash: F.xxhash64(text), at_id: shared.id_or_last(id_col)}
+    size = F.octet_length(text).cast("long") + ROW_BYTES
+    keys = shared.written(docs.select(placed[at_hash].alias("h"), placed[at_id].alias("id"), size.alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     fine = max(1, -(-min(MOST_RANGES, shared.partitions_for(spark, total, 64 << 20)) // shards))
     at = splitters(keys, shards, fine)
@@ -122,7 +130,8 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     first_rows = [0] + [s.rows for s in at]
     # how many rows of the same shard lie in earlier ranges: one number for each range
     before = F.array(*[F.lit(n - first_rows[r // fine * fine]) for r, n in enumerate(first_rows)])
-    moved = rows.withColumn("__range", range_of([s.key for s in at])("__h", "__id")).repartitionById(shards * fine, F.col("__range"))
-    row = F.row_number().over(Window.partitionBy("__range").orderBy("__h", "__id"))
-    moved = moved.withColumn("slot", (F.element_at(before, F.col("__range") + 1) + row - 1).cast("long"))
-    return moved.withColumn("shard", F.floor(F.col("__range") / fine).cast("int")).drop("__range", "__h", "__id")
+    rows = docs.withColumns(placed | {"size": size})
+    moved = rows.withColumn(at_range, range_of([s.key for s in at])(at_hash, at_id)).repartitionById(shards * fine, F.col(at_range))
+    row = F.row_number().over(Window.partitionBy(at_range).orderBy(at_hash, at_id))
+    moved = moved.withColumn("slot", (F.element_at(before, F.col(at_range) + 1) + row - 1).cast("long"))
+    return moved.withColumn("shard", F.floor(F.col(at_range) / fine).cast("int")).drop(at_range, at_hash, at_id)
