@@ -1,7 +1,8 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 Terms are words and their beginnings, hashed. On a bounded sample of the labelled documents, the terms whose presence
-depends on the label are selected by a likelihood-ratio test; the machine learns a weight and a short vector for each,
+depends on the label are selected by a likelihood-ratio test, among all documents and then, for what only counts in
+company, among those with a term that speaks for the label. The machine learns a weight and a short vector for each,
 so that pairs of terms (an insult and the mention of a group) count beyond the sum of their weights. Every document is
 then scored on all its words.
 
@@ -27,7 +28,7 @@ from .words import WordHashes, Words, slices
 BUCKET_BITS = 22
 #: Labelled documents that the machine is fitted on, about.
 SAMPLE = 20_000
-#: Most selected terms, least documents with one, and least likelihood ratio (G squared).
+#: Most terms of either selection, least documents with one, and least likelihood ratio (G squared).
 TERMS, LEAST_DOCUMENTS, LEAST_RATIO = 4096, 3, 16.0
 #: Length of a term's vector, training steps and their rate, ridge of weights and of vectors.
 FACTORS, STEPS, RATE = 8, 400, 0.05
@@ -128,23 +129,39 @@ def _ratio(with_1, with_0, n_1, n_0):
     return 2 * (part(with_1, seen * n_1 / n) + part(with_0, seen * n_0 / n) + part(n_1 - with_1, (n - seen) * n_1 / n) + part(n_0 - with_0, (n - seen) * n_0 / n))
 
 
+def _labels_of(sample: DataFrame) -> tuple[int, int]:
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    return n.get(1, 0), n.get(0, 0)
+
+
+def _selected(sample: DataFrame, n_1: int, n_0: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms whose presence in these documents depends most on the label, and whether each speaks for it."""
+    seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    seen = seen.filter(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).withColumn("g", _ratio(F.col("a"), F.col("b"), F.lit(n_1), F.lit(n_0))).filter(F.col("g") >= LEAST_RATIO)
+    found = seen.orderBy(F.desc("g"), "term").limit(TERMS).select("term", (F.col("a") * n_0 > F.col("b") * n_1).alias("speaks")).toArrow()
+    return found["term"].to_numpy(), found["speaks"].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted on about SAMPLE labelled documents, taken by hash."""
     shared.bound_batches(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     total = known.count()
     taken = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
     taken = F.broadcast(taken.limit(2 * SAMPLE))  # no more rows than that
-    rows = docs.select(F.col(id_col).alias("id"), shared.text_or_empty(text_col).cast("binary").alias("text")).join(taken, "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), shared.text_or_empty(text_col).cast("binary").alias("text")).join(taken, "id")
     sample = shared.written(rows.mapInArrow(_sampled_terms, "id long, toxic int, terms array<int>"), "sample")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n_1, n_0 = n.get(1, 0), n.get(0, 0)
+    n_1, n_0 = _labels_of(sample)
     nothing = Machine(np.zeros(0, np.int64), float(np.log((n_1 + 1) / (n_0 + 1))), np.zeros(0), np.zeros((0, FACTORS)))
     if not n_1 or not n_0:
         return nothing
-    seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    seen = seen.filter(F.col("a") + F.col("b") >= LEAST_DOCUMENTS).withColumn("g", _ratio(F.col("a"), F.col("b"), F.lit(n_1), F.lit(n_0))).filter(F.col("g") >= LEAST_RATIO)
-    chosen = seen.orderBy(F.desc("g"), "term").limit(TERMS).select("term").toArrow()["term"].to_numpy()
+    alone, speaks = _selected(sample, n_1, n_0)
+    chosen = alone
+    if speaks.any():
+        company = sample.filter(F.arrays_overlap("terms", F.lit(alone[speaks].tolist())))
+        with_1, with_0 = _labels_of(company)
+        if with_1 and with_0:
+            chosen = np.union1d(alone, _selected(company, with_1, with_0)[0])
     if not len(chosen):
         return nothing
     only = F.array_intersect("terms", F.lit(chosen.tolist()))
