@@ -1,18 +1,21 @@
 """Near-duplicate vectors of one label by a forest of random-projection trees.
 
 Each tree splits by a random direction at the median, again and again; vectors near a split go to both sides. The
-trees are fitted on a bounded sample (SAMPLE vectors), then every vector walks down all of them. Vectors that share a
-label and a leaf are compared exactly in double precision; a pair counts in the first leaf, by number, that its two
-vectors share, so links are counted once without being listed. Equal vectors are one row with a weight.
+trees are fitted on a bounded sample (SAMPLE vectors), then every vector walks down all of them, as deep as the size of
+its label asks. Vectors that share a label and a leaf are compared exactly in double precision; a pair counts in the
+first leaf, by number, that its two vectors share, so links are counted once without being listed. Equal vectors are
+one row with a weight.
 
-A vector passes both ways within SPILL of a split. Two vectors at the least similarity are apart by at most their chord
-along any direction, so SPILL is absolute, and clusters narrower than it are never cut. Leaves beyond BLOCK vectors
-are compared in pairs of blocks, all of them, so no task holds an unbounded group.
+A vector passes both ways within a distance of a split. Along a random direction, unit vectors spread, and two vectors
+at the least similarity are apart, in proportion to one over the root of the dimension, so the distance is SPILL over
+that root: recall and copies are then alike in all dimensions. Where a node has too few of the sample, the whole
+level's median splits it, so depth has no bound but the size of the table. Leaves beyond BLOCK vectors are compared in
+pairs of blocks, all of them, so no task holds an unbounded group.
 
 Defined cases: a null label, or a vector that is null, zero, or has a null or non-finite component, links with nothing;
 vectors of different dimension do not link; repeated identifiers are rows of their own and share the class of their
-vector; a null identifier counts as larger than any other; an empty table gives an empty result. Other columns are
-never read.
+vector; a null identifier counts as larger than any other, and so does 2^63 - 1, which stands for it; an empty table
+gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,47 +32,62 @@ from .components import connected_components, forest
 
 COSINE = 0.93
 TREES = 6
-#: Vectors of a label that a leaf should hold, and most levels of a tree.
-LEAF, LEVELS = 256, 14
-#: Vectors that the trees are fitted on.
-SAMPLE = 40_000
-SPILL = 0.03
+#: Vectors of a label that a leaf should hold.
+LEAF = 32
+#: Vectors that the trees are fitted on, and least of them that a node's own median is taken of.
+SAMPLE, LEAST = 40_000, 8
+#: Distance of a split within which a vector goes both ways, times the root of the dimension.
+SPILL = 0.16
 #: Vectors of a leaf that one task compares with each other.
 BLOCK = 4096
 SEED = 20
 
 
 class Tree:
-    """Random splits of unit vectors; nodes as in a heap, thresholds from the sample."""
+    """Random splits of unit vectors; nodes as in a heap, thresholds from the sample: a node's own, or its level's."""
 
     def __init__(self, sample: np.ndarray, levels: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.levels = levels
+        self.spill = SPILL / np.sqrt(sample.shape[1])
         self.directions = rng.standard_normal((levels, sample.shape[1]))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
-        self.thresholds = np.full(2**levels, np.nan)
+        #: of each level, sorted nodes with a threshold of their own, their thresholds, and that of the others
+        self.splits: list[tuple[np.ndarray, np.ndarray, float]] = []
         rows, nodes = np.arange(len(sample)), np.ones(len(sample), np.int64)
         for level in range(levels):
             along = sample[rows] @ self.directions[level]
             order = np.lexsort((along, nodes))
             heads = np.flatnonzero(np.concatenate([[True], nodes[order][1:] != nodes[order][:-1]]))
             sizes = np.diff(np.concatenate([heads, [len(order)]]))
-            enough = sizes >= 8
-            self.thresholds[nodes[order][heads[enough]]] = along[order][heads[enough] + sizes[enough] // 2]
-            rows, nodes = self._step(rows, nodes, along)
-
-    def _step(self, rows: np.ndarray, nodes: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        beyond = along - self.thresholds[nodes]
-        stays = np.isnan(beyond)
-        left, right = stays | (beyond < SPILL), ~stays & (beyond >= -SPILL)
+            own = sizes >= LEAST
+            middle = along[order][heads[own] + sizes[own] // 2]
+            self.splits.append((nodes[order][heads[own]], middle, float(np.median(sample @ self.directions[level]))))
+            rows, nodes = self._step(rows, nodes, along, level)
+
+    def _step(self, rows: np.ndarray, nodes: np.ndarray, along: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        known, thresholds, other = self.splits[level]
+        at = np.minimum(np.searchsorted(known, nodes), max(len(known) - 1, 0))
+        beyond = along - (np.where(known[at] == nodes, thresholds[at], other) if len(known) else other)
+        left, right = beyond < self.spill, beyond >= -self.spill
         return np.concatenate([rows[left], rows[right]]), np.concatenate([nodes[left] * 2, nodes[right] * 2 + 1])
 
-    def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf that a row reaches."""
+    def leaves(self, unit: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf that a row reaches in as many levels as its depth."""
         rows, nodes = np.arange(len(unit)), np.ones(len(unit), np.int64)
-        for level in range(self.levels):
-            rows, nodes = self._step(rows, nodes, unit[rows] @ self.directions[level])
-        return rows, nodes
+        ended = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for level in range(len(self.splits) + 1):
+            done = depth[rows] <= level
+            ended.append((rows[done], nodes[done]))
+            rows, nodes = rows[~done], nodes[~done]
+            if not len(rows):
+                break
+            rows, nodes = self._step(rows, nodes, unit[rows] @ self.directions[level], level)
+        return np.concatenate([r for r, _ in ended]), np.concatenate([n for _, n in ended])
+
+
+def levels_for(n: int) -> int:
+    """Levels that a label of n vectors is split in."""
+    return max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -85,17 +103,20 @@ def _walker(trees: list[Tree]):
             for a in range(0, batch.num_rows, 2048):
                 own = batch.slice(a, 2048)
                 unit = _unit(own.column("v"))
+                depth = own.column("depth").to_numpy()
                 rows, leaves = [], []
                 for t, tree in enumerate(trees):
-                    r, n = tree.leaves(unit)
-                    rows.append(r)
-                    leaves.append(n | t << 40)
+                    # a label of one leaf is the same leaf in every tree
+                    r, n = tree.leaves(unit, depth) if t == 0 else tree.leaves(unit[depth > 0], depth[depth > 0])
+                    rows.append(r if t == 0 else np.flatnonzero(depth > 0)[r])
+                    leaves.append(n | t << 52)
                 rows, leaves = np.concatenate(rows), np.concatenate(leaves)
                 order = np.lexsort((leaves, rows))
                 rows, leaves = rows[order], leaves[order]
                 ends = np.cumsum(np.bincount(rows, minlength=own.num_rows))
                 offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(offsets, pa.array(leaves))], names=[*own.schema.names, "leaves"])
+                names = [c for c in own.schema.names if c != "depth"]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(leaves))], names=[*names, "leaves"])
 
     return walk
 
@@ -168,17 +189,14 @@ def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "w"])
 
 
-def _fitted(classes: DataFrame, dim: int, most: int) -> list[Tree]:
-    """Trees for the vectors of one dimension, from at most SAMPLE of them."""
-    levels = int(np.clip(np.ceil(np.log2(max(1, most) / LEAF)), 0, LEVELS))
+def _fitted(classes: DataFrame, dim: int, n: int, most: int) -> list[Tree]:
+    """Trees for the n classes of one dimension, from about SAMPLE of them."""
     own = classes.filter(F.col("dim") == dim)
-    share = min(1.0, SAMPLE / max(1, own.count()))
+    share = min(1.0, SAMPLE / max(1, n))
     # by hash, so that the same vectors are taken whenever this runs
-    taken = own.filter(F.pmod(F.xxhash64("label", "v", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(SAMPLE).toArrow()
-    if not len(taken):
-        return [Tree(np.zeros((1, dim)), 0, SEED + t) for t in range(TREES)]
-    sample = _unit(taken.column("v").combine_chunks())
-    return [Tree(sample, levels, SEED + t) for t in range(TREES if levels else 1)]
+    taken = own.filter(F.pmod(F.xxhash64("label", "v", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * SAMPLE).toArrow()
+    sample = _unit(taken.column("v").combine_chunks()) if len(taken) else np.zeros((1, dim))
+    return [Tree(sample, levels_for(most), SEED + t) for t in range(TREES)]
 
 
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -190,10 +208,13 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     # a number for each class that does not depend on identifiers, which may repeat; fixed once it is written
     classes = shared.written(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")}), "classes")
     leaves = None
+    sizes = classes.groupBy("dim", "label").count()
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / LEAF))).cast("int").alias("depth")
+    sized = classes.join(sizes.select("dim", "label", depth), ["dim", "label"])
     # one row for each dimension of vectors
-    for r in classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect():
-        trees = _fitted(classes, r["dim"], r["most"])
-        own = classes.filter(F.col("dim") == r["dim"]).select("label", "dim", "node", "n", "v")
+    for r in sizes.groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect():
+        trees = _fitted(classes, r["dim"], r["n"], r["most"])
+        own = sized.filter(F.col("dim") == r["dim"]).select("label", "dim", "node", "n", "v", "depth")
         walked = own.mapInArrow(_walker(trees), "label string, dim int, node long, n long, v array<double>, leaves array<long>")
         leaves = walked if leaves is None else leaves.unionByName(walked)
     if leaves is None:
