@@ -7,8 +7,8 @@ asks at the cells that are one larger in one coordinate. Fingerprints that meet
 fingerprints are one row there, and what meets in a cell is reported as a spanning forest, never as all its pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer than three words are one
-shingle; repeated rows share a component; a null identifier counts as larger than any other and stays null; an empty
-table gives an empty result. Other columns are never read.
+shingle; repeated rows share a component; a null identifier counts as larger than any other and stays null, and so does
+2^63 - 1, which stands for it; an empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _LOW_BITS = 0x55555555
 PAIRS = 1 << 21
 #: Fingerprints of a cell that one task takes; larger cells are compared in pairs of blocks.
 BLOCK = 1 << 16
+#: Coordinates of a cell, and fingerprints that stand in a cell which is not counted on its own.
+NEIGHBOURS, LIGHT = 16, 1 << 11
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -74,15 +76,28 @@ def _bit_counts(half: Column) -> Column:
     return half.bitwiseAND(low) + F.shiftrightunsigned(half, 1).bitwiseAND(low)
 
 
+def _counts() -> list[Column]:
+    """The bit counts of both halves of fp, c0 and c1."""
+    return [_bit_counts(F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"c{k}") for k in (0, 1)]
+
+
+def _cell(half: int) -> Column:
+    """Where a fingerprint stands in the grid of one half."""
+    return F.col(f"c{half}") + F.lit(half << 32)
+
+
+def _asked(c: Column) -> list[Column]:
+    """The cells that are one larger than c in one coordinate; null where it is at its largest."""
+    return [F.when(F.shiftright(c, 2 * k).bitwiseAND(F.lit(3)) < 2, c + F.lit(1 << (2 * k))) for k in range(NEIGHBOURS)]
+
+
 def grid_rows(fps: DataFrame) -> DataFrame:
     """(cell, fp, asks): a row where the fingerprint stands in either half's grid, and one where it asks."""
-    halves = [F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)) for k in (0, 1)]
-    points = fps.select("fp", *[_bit_counts(h).alias(f"c{k}") for k, h in enumerate(halves)])
+    points = fps.select("fp", *_counts())
     rows = []
     for half in (0, 1):
-        c, tag = F.col(f"c{half}"), F.lit(half << 32)
-        asked = [F.when(F.shiftright(c, 2 * k).bitwiseAND(F.lit(3)) < 2, c + tag + F.lit(1 << (2 * k))) for k in range(16)]
-        rows += [F.struct((c + tag).alias("cell"), F.lit(False).alias("asks"))] + [F.struct(x.alias("cell"), F.lit(True).alias("asks")) for x in asked]
+        asked = [x + F.lit(half << 32) for x in _asked(F.col(f"c{half}"))]
+        rows += [F.struct(_cell(half).alias("cell"), F.lit(False).alias("asks"))] + [F.struct(x.alias("cell"), F.lit(True).alias("asks")) for x in asked]
     return points.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.cell", "fp", "r.asks").filter("cell is not null")
 
 
@@ -127,9 +142,25 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(*held)
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Cells of more than BLOCK rows become cells for each pair of their blocks."""
-    large = shared.written(rows.groupBy("cell").count().filter(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "large")
+def large_cells(fps: DataFrame) -> DataFrame:
+    """(cell, k): cells in which more than BLOCK rows may stand or ask, with the number of their blocks.
+
+    Counted from the cells where fingerprints stand. An asking fingerprint stands next to the cell it asks at, so a cell
+    none of whose neighbours holds more than LIGHT has at most NEIGHBOURS * LIGHT that ask; more only come from the few
+    heavy neighbours, whose counts are passed on.
+    """
+    standing = fps.select("fp", *_counts()).select(F.explode(F.array(*[_cell(half) for half in (0, 1)])).alias("cell")).groupBy("cell").count()
+    heavy = shared.written(standing.filter(F.col("count") > LIGHT), "heavy")
+    if heavy.isEmpty():
+        return heavy.select("cell", F.lit(1).alias("k"))
+    c, tag = F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("cell").bitwiseAND(F.lit(1 << 32))
+    asked = heavy.select(F.explode(F.array(*[x + tag for x in _asked(c)])).alias("cell"), "count").filter("cell is not null")
+    rows = heavy.select("cell", "count").unionByName(asked).groupBy("cell").agg((F.sum("count") + NEIGHBOURS * LIGHT).alias("n"))
+    return shared.written(rows.filter(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "large")
+
+
+def _in_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Large cells become cells for each pair of their blocks."""
     if large.isEmpty():
         return rows
     block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int")
@@ -142,7 +173,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """fps (fp), distinct -> links (a, b) that connect all fingerprints at DISTANCE or fewer differing bits."""
-    rows = _in_blocks(grid_rows(fps))
+    rows = _in_blocks(grid_rows(fps), large_cells(fps))
     rows = rows.repartition("cell").sortWithinPartitions("cell", "asks")
     return rows.mapInArrow(_met, "a long, b long")
 
@@ -158,10 +189,3 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = lambda c: F.when(F.col(c) < shared.LAST_ID, F.col(c))
     out = own.join(of_fp, "fp")
     return out.select(known("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("component_id").alias("component_id"))
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component, those with its smallest identifier."""
-    found = near_components(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = found.select(shared.id_or_last(id_col).alias("__gone")).distinct()
-    return docs.join(gone, shared.id_or_last(id_col) == F.col("__gone"), "left_anti")
