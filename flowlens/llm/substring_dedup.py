@@ -7,12 +7,15 @@ Each window of WINDOW bytes has an anchor, the least hash of its strings of GRAM
 anchors. Windows in a row with one anchor form a snippet. A window can only occur in two documents if its anchor does:
 tasks send the anchors of a block of documents to the anchors' buckets and get back those seen in two documents. The
 snippets of these go to the buckets, once for each block of documents that has them, however many documents share them.
-There the snippets' shards get a Burrows-Wheeler transform each; merging these by interleave refinement gives the
-intervals of windows with a common prefix of WINDOW bytes, and the smallest identifier in each goes back to the blocks.
+There the snippets of each block are a shard with a Burrows-Wheeler transform of its own; merging these by interleave
+refinement gives the intervals of windows with a common prefix of WINDOW bytes, and the smallest identifier in each goes
+back to the blocks. An anchor that more than HOT documents have would fill one task: its windows are not sent to a
+bucket but meet one by one, as keys of an aggregate, so they spread over all tasks.
 
 Defined cases: a null text is empty; matches are of bytes and may start within a character; rows with one identifier
 are no earlier than each other, and rows with one identifier and text are treated alike; a null identifier counts as
-larger than any other; an empty table gives an empty result. Other columns are never read, or travel unchanged.
+larger than any other, and so does 2^63 - 1, which stands for it; an empty table gives an empty result. Other columns
+are never read, or travel unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,10 @@ WINDOW = 50
 GRAM = 24
 #: Windows of a snippet at most.
 SNIPPET = 64
-#: Transforms that a bucket merges.
-SHARDS = 4
+#: Documents with an anchor beyond which its windows meet one by one.
+HOT = 1 << 13
+#: Bytes of text for a block, and of text whose anchors, or snippets, share a bucket.
+BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 64 << 20, 16 << 20, 4 << 20
 #: Bytes of snippets that are merged at once; snippets of one anchor stay together.
 MERGED = 1 << 19
 #: Bytes of text whose anchors are worked out at once.
@@ -99,7 +103,7 @@ def _bucket_cuts(anchors: np.ndarray, buckets: int) -> np.ndarray:
 
 def _anchors(buckets: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each bucket, a block's distinct anchors and whether two of its documents have them."""
+        """For each bucket, a block's distinct anchors and how many of its documents have each."""
         block, held, docs = None, [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -109,12 +113,13 @@ def _anchors(buckets: int):
             doc = np.concatenate([x for _, x in held])
             order = np.argsort(anchors, kind="stable")
             anchors, doc = anchors[order], doc[order]
-            heads = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-            several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+            new = np.concatenate([[True], anchors[1:] != anchors[:-1]])
+            heads = np.flatnonzero(new)
+            n = np.add.reduceat(new | np.concatenate([[True], doc[1:] != doc[:-1]]), heads, dtype=np.int32)
             anchors = anchors[heads]
             cuts = _bucket_cuts(anchors, buckets)
-            own = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array([anchors[cuts[k] : cuts[k + 1]].tobytes() for k in own], pa.binary()), pa.array([several[cuts[k] : cuts[k + 1]].tobytes() for k in own], pa.binary())], names=["bucket", "block", "anchors", "several"])
+            own = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array([anchors[cuts[k] : cuts[k + 1]].tobytes() for k in own], pa.binary()), pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in own], pa.binary())], names=["bucket", "block", "anchors", "docs"])
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -132,21 +137,21 @@ def _anchors(buckets: int):
     return find
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Of a bucket's anchors, for each block those that are in two documents."""
-    sent = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
-    several = np.concatenate([np.frombuffer(x, bool) for x in table["several"].to_pylist()])
-    anchors = np.concatenate(sent)
-    order = np.argsort(anchors, kind="stable")
-    ordered = anchors[order]
-    same = ordered[1:] == ordered[:-1]
-    found = several.copy()
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    at = np.concatenate([[0], np.cumsum([len(x) for x in sent])])
-    rows = [(b, x[found[at[k] : at[k + 1]]].tobytes()) for k, (b, x) in enumerate(zip(table["block"].to_pylist(), sent))]
-    rows = [r for r in rows if r[1]]
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "anchors": pa.array([r[1] for r in rows], pa.binary())})
+def _shared_anchors(hot: int):
+    def find(table: pa.Table) -> pa.Table:
+        """Of a bucket's anchors, for each block those that are in two documents, apart those in more than `hot`."""
+        sent = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
+        _, at = np.unique(np.concatenate(sent), return_inverse=True)
+        docs = np.bincount(at, _joined(table, "docs", np.int32))[at]
+        ends = np.cumsum([0, *map(len, sent)])
+        rows = []
+        for k, (block, own) in enumerate(zip(table["block"].to_pylist(), sent)):
+            n = docs[ends[k] : ends[k + 1]]
+            if (n > 1).any():
+                rows.append((block, own[n > 1].tobytes(), own[n > hot].tobytes()))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "anchors": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
+
+    return find
 
 
 class Block:
@@ -180,34 +185,72 @@ class Block:
             self.found.append((text, starts - begin[text - a], sizes, n))
 
 
+def _known_block(docs: pa.Table, answers: pa.Table) -> tuple[Block | None, np.ndarray]:
+    """The block with its shared anchors, and for each snippet whether its anchor is hot."""
+    anchors = np.sort(_joined(answers, "anchors", np.uint64))
+    block = Block(docs, anchors) if len(docs) and len(anchors) else None
+    if block is None or not block.anchors:
+        return None, np.zeros(0, bool)
+    return block, np.isin(np.array(block.anchors, np.uint64), _joined(answers, "hot", np.uint64))
+
+
 def _sent_snippets(buckets: int):
     def send(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """For each bucket, a block's snippets: bytes, lengths, anchors, smallest identifiers, numbers."""
         names = ["bucket", "block", "bytes", "lengths", "anchors", "least", "numbers"]
-        anchors = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers["anchors"].to_pylist()] or [np.zeros(0, np.uint64)]))
-        block = Block(docs, anchors) if len(docs) and len(anchors) else None
+        block, hot = _known_block(docs, answers)
         rows = []
-        if block and block.anchors:
+        if block:
             own, least = np.array(block.anchors, np.uint64), np.array(block.least, np.int64)
-            order = np.argsort(own, kind="stable")
+            order = np.flatnonzero(~hot)
+            order = order[np.argsort(own[order], kind="stable")]
             strings = list(block.numbers)
             cuts = _bucket_cuts(own[order], buckets)
-            for k in range(buckets):
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                 at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    parts = [strings[i] for i in at.tolist()]
-                    rows.append((k, key[0].as_py(), b"".join(parts), np.fromiter(map(len, parts), np.int32, len(parts)).tobytes(), own[at].tobytes(), least[at].tobytes(), at.astype(np.int32).tobytes()))
+                parts = [strings[i] for i in at.tolist()]
+                rows.append((k, key[0].as_py(), b"".join(parts), np.fromiter(map(len, parts), np.int32, len(parts)).tobytes(), own[at].tobytes(), least[at].tobytes(), at.astype(np.int32).tobytes()))
         columns = list(zip(*rows)) or [[]] * len(names)
         return pa.table([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(columns)], names=names)
 
     return send
 
 
+_HOT_WINDOWS = pa.schema([("block", pa.int32()), ("number", pa.int32()), ("offset", pa.int32()), ("least", pa.int64()), ("window", pa.binary())])
+
+
+def _hot_windows(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """A row for each window of a block's snippets with hot anchors."""
+    block, hot = _known_block(docs, answers)
+    if block is None or not hot.any():
+        return _HOT_WINDOWS.empty_table()
+    strings, own = list(block.numbers), np.flatnonzero(hot)
+    sizes = np.array([len(strings[i]) - WINDOW + 1 for i in own.tolist()])
+    offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    windows = [strings[i][j : j + WINDOW] for i, n in zip(own.tolist(), sizes.tolist()) for j in range(n)]
+    least = np.array(block.least, np.int64)[own]
+    return pa.table([pa.array(np.full(len(windows), key[0].as_py(), np.int32)), pa.array(np.repeat(own, sizes).astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(np.repeat(least, sizes)), pa.array(windows, pa.binary())], schema=_HOT_WINDOWS)
+
+
+def _packed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with a smaller identifier as a row for each block, as _merged tells them."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        for b in np.unique(blocks).tolist():
+            own = batch.filter(pa.array(blocks == b))
+            raw = [own.column(c).to_numpy().tobytes() for c in ("number", "offset", "low")]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (b"", b"", b"", *raw)]], names=_TOLD)
+
+
+_TOLD = ["block", "anchors", "numbers", "least", "w_number", "w_offset", "w_least"]
+_TOLD_DDL = "block int, anchors binary, numbers binary, least binary, w_number binary, w_offset binary, w_least binary"
+
+
 def _merged(table: pa.Table) -> pa.Table:
     """For each block what it has to know of its snippets in a bucket: the smallest identifier, and of single windows."""
     numbers: dict[bytes, int] = {}
-    sent, least, anchors = [], [], []
-    for raw, lengths, own, low in zip(*(table[c].to_pylist() for c in ("bytes", "lengths", "anchors", "least"))):
+    sent, least, anchors, shards = [], [], [], []
+    for block, raw, lengths, own, low in zip(*(table[c].to_pylist() for c in ("block", "bytes", "lengths", "anchors", "least"))):
         ends = np.cumsum(np.frombuffer(lengths, np.int32)).tolist()
         at = np.empty(len(ends), np.int64)
         for k, (a, b, x, d) in enumerate(zip([0, *ends], ends, np.frombuffer(own, np.uint64).tolist(), np.frombuffer(low, np.int64).tolist())):
@@ -217,11 +260,12 @@ def _merged(table: pa.Table) -> pa.Table:
                 i = numbers[piece] = len(least)
                 least.append(d)
                 anchors.append(x)
+                shards.append(block)
             elif d < least[i]:
                 least[i] = d
             at[k] = i
         sent.append(at)
-    least, anchors, strings = np.array(least, np.int64), np.array(anchors, np.uint64), list(numbers)
+    least, anchors, shards, strings = np.array(least, np.int64), np.array(anchors, np.uint64), np.array(shards, np.int64), list(numbers)
     # an anchor with one snippet needs no merging: its windows have no other place
     order = np.argsort(anchors, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]])) if len(order) else order
@@ -233,7 +277,8 @@ def _merged(table: pa.Table) -> pa.Table:
             size += sum(len(strings[i]) for i in order[a:b].tolist())
         if held and (size >= MERGED or b == len(order)):
             own = np.array(held)
-            string, offset, low = least_of_windows([strings[i] for i in held], least[own], WINDOW, SHARDS)
+            own = own[np.argsort(shards[own], kind="stable")]
+            string, offset, low = least_of_windows([strings[i] for i in own.tolist()], least[own], WINDOW, shards[own])
             found.append((own[string], offset, low))
             held, size = [], 0
     string, offset, low = (np.concatenate(x) for x in zip(*found))
@@ -246,14 +291,22 @@ def _merged(table: pa.Table) -> pa.Table:
         pick = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         local = np.frombuffer(number, np.int32)
         rows.append((block, own, number, least[at].tobytes(), np.repeat(local, n).tobytes(), offset[pick].astype(np.int32).tobytes(), low[pick].tobytes()))
-    columns = list(zip(*rows)) or [[]] * 7
-    return pa.table([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(columns)], names=["block", "anchors", "numbers", "least", "w_number", "w_offset", "w_least"])
+    columns = list(zip(*rows)) or [[]] * len(_TOLD)
+    return pa.table([pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(columns)], names=_TOLD)
 
 
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist()] or [np.zeros(0, kind)])
 
 
+def _rest(text: bytes, covered: np.ndarray, whole_characters: bool) -> bytes:
+    """What is not covered; with whole_characters, each run of it without what a cut left of a character."""
+    if not whole_characters:
+        return np.frombuffer(text, np.uint8)[~covered].tobytes()
+    edges = np.flatnonzero(np.diff(covered, prepend=True, append=True)).tolist()
+    return b"".join(text[a:b].decode("utf-8", "ignore").encode() for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _removed(with_bytes: bool):
     def remove(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Each document's length, removed bytes, spans, and the digest of the rest, or its bytes where something is removed."""
@@ -263,7 +316,7 @@ def _removed(with_bytes: bool):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         anchors = _joined(answers, "anchors", np.uint64)
         block = Block(docs, np.unique(anchors))
-        least = np.full(len(block.anchors), shared.LAST_ID)
+        least = np.array(block.least, np.int64)
         numbers = _joined(answers, "numbers", np.int32)
         least[numbers] = _joined(answers, "least", np.int64)
         w_number, w_offset, w_least = (_joined(answers, c, k) for c, k in (("w_number", np.int32), ("w_offset", np.int32), ("w_least", np.int64)))
@@ -297,7 +350,7 @@ def _removed(with_bytes: bool):
                 covered = np.cumsum(cover[:-1]) > 0
                 gone = int(covered.sum())
                 spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                rest = np.frombuffer(text, np.uint8)[~covered].tobytes()
+                rest = _rest(text, covered, with_bytes) if gone else text
             rows.append((sha, own, len(text), gone, spans, (rest if gone else None) if with_bytes else hashlib.sha256(rest).hexdigest()))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
@@ -310,19 +363,31 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
     spark = docs.sparkSession
     rows = docs.select(shared.id_or_last(id_col).alias("id"), shared.text_or_empty(text_col).cast("binary").alias("text"))
     distinct = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("id", "text")).alias("r"))
+    blocks = shared.partitions_for(spark, shared.planned_bytes(docs), BLOCK_BYTES)
     # a task's documents are a block
-    base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts")
+    base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts", partitions=blocks)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = shared.partitions_for(spark, total, 4 << 20)
-    sent = base.select("block", "text").mapInArrow(_anchors(buckets), "bucket int, block int, anchors binary, several binary")
-    common = shared.written(sent.groupBy("bucket").applyInArrow(_shared_anchors, "block int, anchors binary"), "anchors")
-    pieces = base.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")
-    told = shared.written(pieces.groupBy("bucket").applyInArrow(_merged, "block int, anchors binary, numbers binary, least binary, w_number binary, w_offset binary, w_least binary"), "intervals")
-    shared.dropped(common)
+    sent = base.select("block", "text").mapInArrow(_anchors(shared.partitions_for(spark, total, ANCHOR_BYTES)), "bucket int, block int, anchors binary, docs binary")
+    common = shared.written(sent.groupBy("bucket").applyInArrow(_shared_anchors(HOT), "block int, anchors binary, hot binary"), "anchors", partitions=blocks)
+    volume = common.agg(F.sum(F.octet_length("anchors"))).first()[0] or 0
+    # an anchor stands for about 14 bytes of text
+    buckets = shared.partitions_for(spark, volume * 14 // 8, SNIPPET_BYTES)
+    both = base.groupBy("block").cogroup(common.groupBy("block"))
+    pieces = both.applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")
+    tables = [base, common, shared.written(pieces.groupBy("bucket").applyInArrow(_merged, _TOLD_DDL), "intervals", partitions=blocks)]
+    told = tables[-1]
+    hot = common.filter(F.octet_length("hot") > 0)
+    if not hot.isEmpty():
+        windows = shared.written(both.applyInArrow(_hot_windows, "block int, number int, offset int, least long, window binary"), "windows", partitions=blocks)
+        low = windows.groupBy("window").agg(F.min("least").alias("low"))
+        later = windows.join(low, "window").filter("low < least").select("block", "number", "offset", "low")
+        tables += [windows, shared.written(later.mapInArrow(_packed_windows, _TOLD_DDL), "hot", partitions=blocks)]
+        nothing = [F.lit(b"").alias(c) for c in _TOLD[2:]]
+        told = told.unionByName(tables[-1]).unionByName(hot.select("block", F.col("hot").alias("anchors"), *nothing))
     kept = "kept binary" if with_bytes else "kept string"
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_removed(with_bytes), f"sha string, least long, n_bytes long, n_removed long, n_spans long, {kept}")
-    out = shared.written(out, "passages")
-    shared.dropped(base, told)
+    out = shared.written(out, "passages", partitions=blocks)
+    shared.dropped(*tables)
     return out
 
 
@@ -346,20 +411,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """docs with repeated bytes gone from the text; documents of which nothing is left go.
 
-    What a cut leaves of a character is dropped, so texts stay valid. n_chars is counted anew where it is a column.
+    What a cut leaves of a character is dropped on either side of it, so no character is made of two. n_chars is counted
+    anew where it is a column.
     """
-    found = _passages(docs, id_col, text_col, True).withColumnRenamed("sha", "__sha")
-
-    @F.pandas_udf("string")
-    def valid(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: x.decode("utf-8", "ignore"), na_action="ignore")
-
-    sha = F.sha2(shared.text_or_empty(text_col).cast("binary"), 256)
-    rows = docs.withColumns({"__sha": sha, "__id": shared.id_or_last(id_col)}).join(found.select("__sha", F.col("least").alias("__least"), F.col("n_bytes").alias("__n"), F.col("kept").alias("__rest")), "__sha")
-    rows = rows.filter((F.col("__id") <= F.col("__least")) | (F.col("__n") < WINDOW))
-    changed = F.col("__rest").isNotNull()
-    rows = rows.withColumn("__kept", F.when(changed, valid(F.col("__rest")))).filter(~changed | (F.col("__kept") != ""))
-    out = {text_col: F.when(changed, F.col("__kept")).otherwise(F.col(text_col))}
+    i, sha, least, n, rest = shared.fresh(docs, "id", "sha", "least", "n", "rest")
+    found = _passages(docs, id_col, text_col, True)
+    found = found.select(F.col("sha").alias(sha), F.col("least").alias(least), F.col("n_bytes").alias(n), F.col("kept").cast("string").alias(rest))
+    rows = docs.withColumns({sha: F.sha2(shared.text_or_empty(text_col).cast("binary"), 256), i: shared.id_or_last(id_col)}).join(found, sha)
+    changed = F.col(rest).isNotNull()
+    rows = rows.filter((F.col(i) <= F.col(least)) | (F.col(n) < WINDOW)).filter(~changed | (F.col(rest) != ""))
+    out = {text_col: F.when(changed, F.col(rest)).otherwise(F.col(text_col))}
     if n_chars_col in docs.columns:
-        out[n_chars_col] = F.when(changed, F.length("__kept")).otherwise(F.col(n_chars_col)).cast(docs.schema[n_chars_col].dataType)
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out[n_chars_col] = F.when(changed, F.length(rest)).otherwise(F.col(n_chars_col)).cast(docs.schema[n_chars_col].dataType)
+    return rows.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])

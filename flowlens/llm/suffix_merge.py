@@ -98,8 +98,11 @@ def repeated(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, n
     return shard, suffix, interval
 
 
-def least_of_windows(strings: list[bytes], least: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, value): windows of `depth` bytes that occur in a string with a smaller value than their own."""
+def least_of_windows(strings: list[bytes], least: np.ndarray, depth: int, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, value): windows of `depth` bytes that occur in a string with a smaller value than their own.
+
+    shards: the shard of each string; strings of one shard follow each other.
+    """
     empty = np.zeros(0, np.int64)
     if len(strings) < 2:
         return empty, empty, empty
@@ -109,7 +112,7 @@ def least_of_windows(strings: list[bytes], least: np.ndarray, depth: int, shards
     used[raw] = True
     code = np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.uint16)
     ends = np.cumsum(lengths)
-    bounds = np.linspace(0, len(strings), min(shards, len(strings)) + 1).astype(int)
+    bounds = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]]))
     made, starts, firsts = [], [], []
     for a, b in zip(bounds, bounds[1:]):
         begin = ends[a] - lengths[a]

@@ -5,7 +5,8 @@ import random
 import corpus_pipeline
 from flowlens.llm import queries
 from tests.llm import cases
-from tests.llm.test_dedup import _near_copies, _passages, _plain_removed, _plain_simhash
+from tests.llm.test_dedup import _near_copies, _passages, _plain_removed
+from tests.llm.test_near_copies import _plain_kept
 from tests.llm.test_rows_and_tokens import _check_packing, _exact, _ids
 
 
@@ -30,10 +31,10 @@ def test_stages(spark, tmp_path):
             keep = {r[0] for r in _exact(left) if r[3]}
             left = [r for r in left if r[0] in keep]
         if name == "near_dedup":
-            keep = {r[0] for r in _plain_simhash(left) if r[0] == r[2]}
+            keep = set(_plain_kept(left))
             left = [r for r in left if r[0] in keep]
         if name == "substring_dedup":
-            kept = {r[0]: r[4].decode("utf-8", "ignore") for r in _plain_removed(left)}
+            kept = {r[0]: r[5] for r in _plain_removed(left)}
             left = [(r[0], kept[r[0]], *r[2:]) for r in left if kept[r[0]]]
         if name != "packing":
             assert docs.columns == columns
