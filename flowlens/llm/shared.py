@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +50,13 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, bound)
 
 
+def release_memory() -> None:
+    """Give back to the system what earlier tasks of this Python worker have freed; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Whether a query's shuffle files go when it ends; partitions of a shuffle.
 _CLEANED, _SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffle.partitions"
 

@@ -104,6 +104,7 @@ def _bucket_cuts(anchors: np.ndarray, buckets: int) -> np.ndarray:
 def _anchors(buckets: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each bucket, a block's distinct anchors and how many of its documents have each."""
+        shared.release_memory()
         block, held, docs = None, [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -187,6 +188,7 @@ class Block:
 
 def _known_block(docs: pa.Table, answers: pa.Table) -> tuple[Block | None, np.ndarray]:
     """The block with its shared anchors, and for each snippet whether its anchor is hot."""
+    shared.release_memory()
     anchors = np.sort(_joined(answers, "anchors", np.uint64))
     block = Block(docs, anchors) if len(docs) and len(anchors) else None
     if block is None or not block.anchors:
@@ -248,6 +250,7 @@ _TOLD_DDL = "block int, anchors binary, numbers binary, least binary, w_number b
 
 def _merged(table: pa.Table) -> pa.Table:
     """For each block what it has to know of its snippets in a bucket: the smallest identifier, and of single windows."""
+    shared.release_memory()
     numbers: dict[bytes, int] = {}
     sent, least, anchors, shards = [], [], [], []
     for block, raw, lengths, own, low in zip(*(table[c].to_pylist() for c in ("block", "bytes", "lengths", "anchors", "least"))):
@@ -314,6 +317,7 @@ def _removed(with_bytes: bool):
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_bytes else pa.string()]
         if not len(docs):
             return pa.table([pa.array([], k) for k in kinds], names=names)
+        shared.release_memory()
         anchors = _joined(answers, "anchors", np.uint64)
         block = Block(docs, np.unique(anchors))
         least = np.array(block.least, np.int64)

@@ -41,6 +41,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, sequence: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.release_memory()
         part, words = TaskContext.get().partitionId(), encoder(tokenizer)
         encode, schema = words.encode, _schema(sequence, max(len(words.lengths) - 1, end_id) >= 1 << 16)
         path, step = f"{folder}/part-{part:06d}", BATCH * sequence

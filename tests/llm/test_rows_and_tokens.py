@@ -1,6 +1,8 @@
 """Exact dedup, sharding, token files and packing against plain versions."""
 
+import bisect
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -162,20 +164,46 @@ def test_packing(spark):
     assert n <= -(-sum(k[3] for k in want.elements()) // 256) + 3
 
 
-def test_best_fit_is_near_the_bound():
-    rng = np.random.default_rng(3)
-    for capacity in (50, 2048):
-        lengths = np.minimum(rng.geometric(4 / capacity, 5000), capacity)
-        counts = {int(s): int(n) for s, n in Counter(lengths.tolist()).items()}
-        runs, used = packing.best_fit(counts, capacity)
-        placed = Counter()
-        fill = Counter()
-        for s, rank, n, first, offset in runs:
-            placed[s] += n
-            for k in range(n):
-                fill[first + k] += s
-        assert placed == Counter(counts) and max(fill.values()) <= capacity and len(fill) == used
-        assert used <= lengths.sum() / capacity * 1.01 + 1
+def _plain_best_fit(lengths, capacity):
+    """Sequences that best fit needs, pieces taken longest first, one at a time."""
+    gaps, n = [], 0
+    for s in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        width = gaps.pop(at) if at < len(gaps) else capacity
+        n += at == len(gaps) and width == capacity
+        if width > s:
+            bisect.insort(gaps, width - s)
+    return n
+
+
+def test_brackets_match_the_narrowest_free_gap():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted(((rng.randint(1, 9), not rng.random() < 0.5) for _ in range(rng.randint(0, 40))), key=lambda r: (-r[0], not r[1]))
+        free, want = [], []
+        for k, (_, is_gap) in enumerate(rows):
+            want.append(-1 if is_gap or not free else free.pop())
+            if is_gap:
+                free.append(k)
+        assert packing.matched(np.array([g for _, g in rows], bool)).tolist() == want
+
+
+@pytest.mark.parametrize(("kind", "rows"), [("many", packing.ROWS), ("many", 1500), ("short", packing.ROWS), ("long", packing.ROWS), ("alike", 900)])
+def test_packing_is_near_best_fit(spark, monkeypatch, rows, kind):
+    """Rounds, in one task and in several, need hardly more sequences than best fit of one piece after the other."""
+    monkeypatch.setattr(packing, "ROWS", rows)
+    rng, capacity = np.random.default_rng(3), 256
+    lengths = {
+        "many": np.minimum(rng.geometric(1 / 60, 5000), capacity),
+        "short": np.concatenate([rng.integers(1, 6, 3000), rng.integers(130, 140, 40)]),
+        "long": rng.integers(100, capacity + 1, 3000),
+        "alike": np.concatenate([np.full(2000, 97), np.full(900, 62)]),
+    }[kind]
+    pieces = spark.createDataFrame([(k, 0, 0, int(s), 0, k) for k, s in enumerate(lengths)], packing._PIECES + ", pid long").repartition(5)
+    got = packing.packed(pieces, capacity).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter(enumerate(lengths.tolist()))
+    n = _check_packing(got, capacity)
+    assert n <= _plain_best_fit(lengths.tolist(), capacity) * 1.02 + 3
 
 
 def test_packing_of_no_rows(spark):
