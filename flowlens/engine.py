@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import l7
-from flowlens.functions.decode import decode, transport_only
+from flowlens.functions.decode import ARRIVAL, arrival, decode, transport_only
 from flowlens.operators import classify, explain, policy, reports, signatures
 from flowlens.sources import pcap
 
@@ -42,12 +42,13 @@ class Engine:
         return self.rules.unblock(kind, value)
 
     def open(self, path: str, count: int | None = None) -> DataFrame:
-        """Decoded frames of captures; count keeps the first frames past the transport gate, in order of frame."""
+        """Decoded frames of captures; count keeps the first frames past the transport gate, in order of arrival."""
         frames = decode(self.spark.read.format("pcap").load(path))
         if count is None:
             return frames
-        last = transport_only(frames).orderBy("frame_no").limit(count).agg(F.max("frame_no")).first()[0]
-        return frames.filter(F.col("frame_no") <= (-1 if last is None else last))
+        own = transport_only(frames).select(arrival(frames).alias("_at")).orderBy("_at").limit(count)
+        last = own.agg(F.max("_at").alias("last"))  # one row
+        return frames.join(F.broadcast(last), arrival(frames) <= F.col("last")).drop("last")
 
     def classify(self, frames: DataFrame) -> DataFrame:
         return classify.classify_packets(frames, self.signatures, self.rules, self.profile)
@@ -57,13 +58,13 @@ class Engine:
 
     def forwarded(self, frames: DataFrame) -> DataFrame:
         """Frames that no rule drops, with the columns that a capture needs."""
-        return self.classify(frames).filter("not blocked").select("frame_no", "ts_sec", "ts_usec", "link_type", "data")
+        return self.classify(frames).filter("not blocked").select("arrived", "source", "frame_no", "ts_sec", "ts_usec", "link_type", "data")
 
     def write_forwarded(self, frames: DataFrame, folder: str, one_file: bool = True) -> None:
         """Captures of the forwarded frames. One file holds them all in order; several are ranges of them in order."""
         own = self.forwarded(frames)
-        own = own.repartition(1) if one_file else own.repartitionByRange("frame_no")
-        own.sortWithinPartitions("frame_no").write.format("pcap").mode("append").save(folder)
+        own = own.repartition(1) if one_file else own.repartitionByRange(*ARRIVAL)
+        own.sortWithinPartitions(*ARRIVAL).write.format("pcap").mode("append").save(folder)
 
     def explain(self, frames: DataFrame, spec: str = "", max_flows: int | None = explain.MOST_FLOWS) -> DataFrame:
         return explain.explain(frames, self.signatures, self.rules, spec, max_flows)

@@ -120,8 +120,8 @@ def block_reason(rules: BlockRules, src_ip: Column, dst_port: Column, app: Colum
 
 
 def blocked_rows(df: DataFrame, rules: DataFrame, kind: str, column: str, keep: bool = True) -> DataFrame:
-    """Rows whose value is (keep) or is not in a rule table; rule tables are driver-side text and small."""
-    own = F.broadcast(rules.filter(F.col("kind") == kind).select(F.col("value").alias("_value")))
+    """Rows whose value is (keep) or is not in a rule table; a table of any size, sent to every task only if it is small."""
+    own = rules.filter(F.col("kind") == kind).select(F.col("value").alias("_value")).distinct()
     return df.join(own, df[column].cast("string") == F.col("_value"), "left_semi" if keep else "left_anti")
 
 

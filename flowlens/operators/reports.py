@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -9,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowlens.functions import text
-from flowlens.functions.decode import transport_only
+from flowlens.functions.decode import arrival, transport_only
 
 PREFIX = "flowlens"
 
 
-def totals(frames: DataFrame, classified: DataFrame) -> DataFrame:
-    """One row: all frames and their bytes, parse errors; packets past the gate, by transport, forwarded and dropped."""
+def frame_totals(frames: DataFrame) -> DataFrame:
+    """One row: all frames and their bytes, parse errors; packets past the gate and their bytes, by transport."""
     gate = F.col("parse_ok") & F.col("has_ip") & (F.col("has_tcp") | F.col("has_udp"))
-    every = frames.agg(
+    return frames.agg(
         F.count(F.lit(1)).alias("frames"),
         F.coalesce(F.sum("frame_bytes"), F.lit(0)).alias("frame_bytes"),
         F.count_if(~F.col("parse_ok")).alias("parse_errors"),
@@ -26,7 +27,11 @@ def totals(frames: DataFrame, classified: DataFrame) -> DataFrame:
         F.count_if(gate & F.col("has_tcp")).alias("tcp_packets"),
         F.count_if(gate & F.col("has_udp")).alias("udp_packets"),
     )
-    return every.crossJoin(forward_drop(classified))  # one row each
+
+
+def totals(frames: DataFrame, classified: DataFrame) -> DataFrame:
+    """One row: totals of the frames, and packets forwarded and dropped."""
+    return frame_totals(frames).crossJoin(forward_drop(classified))  # one row each
 
 
 def transport_totals(packets: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def _all(column: str):
 
 def names_seen(classified: DataFrame) -> DataFrame:
     """Each name with the application of the last packet that had it."""
-    return classified.filter("sni != ''").groupBy("sni").agg(F.max_by("app", "frame_no").alias("app"), F.count(F.lit(1)).alias("packets"))
+    return classified.filter("sni != ''").groupBy("sni").agg(F.max_by("app", arrival(classified)).alias("app"), F.count(F.lit(1)).alias("packets"))
 
 
 def flows_by(flows: DataFrame, column: str) -> DataFrame:
@@ -103,25 +108,51 @@ def labelled(name: str, help_: str, kind: str, key: str, series: Iterable[tuple[
     return f"# HELP {name} {help_}\n# TYPE {name} {kind}\n" + "".join(f'{name}{{{key}="{escaped_label(label)}"}} {n}\n' for label, n in series)
 
 
-#: Rows of each labelled family that a text shows, most frequent first: a text is read by people and scrapers.
-SERIES = 1000
+def _family(place: int, name: str, help_: str, kind: str, rows: DataFrame) -> DataFrame:
+    """A family's lines; rows (n, label, text) are its samples, the largest number first."""
+    name = f"{PREFIX}_{name}"
+    head = rows.sparkSession.createDataFrame([(0, 0, "", f"# HELP {name} {help_}"), (0, 1, "", f"# TYPE {name} {kind}")], "part int, n long, label string, text string")
+    samples = rows.select(F.lit(1).alias("part"), (-F.col("n")).alias("n"), "label", F.concat(F.lit(name), "text").alias("text"))
+    return head.unionByName(samples).withColumn("family", F.lit(place))
 
 
-def _series(df: DataFrame, key: str, n: str) -> list[tuple[str, int]]:
-    return [(r[key], r[n]) for r in df.orderBy(F.desc(n), key).limit(SERIES).collect()]
+def _labels(rows: DataFrame, key: str, n: str) -> DataFrame:
+    escaped = F.col(key)
+    for raw, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(written))
+    return rows.select(F.col(n).alias("n"), F.col(key).alias("label"), F.concat(F.lit(f'{{{key}="'), escaped, F.lit('"} '), F.col(n).cast("string")).alias("text"))
 
 
-def metrics_text(frames: DataFrame, classified: DataFrame, flows: DataFrame, per_flow_apps: bool = False) -> str:
-    """Metrics in the Prometheus text format; per_flow_apps counts connections, not packets, per application."""
-    t = totals(frames, classified).first()
-    counters = [("packets", "Packets past the transport gate", t["packets"]), ("bytes", "Bytes of these packets", t["bytes"]), ("tcp_packets", "TCP packets", t["tcp_packets"]), ("udp_packets", "UDP packets", t["udp_packets"]), ("forwarded", "Packets forwarded", t["forwarded"]), ("dropped", "Packets dropped by a rule", t["dropped"])]
-    out = "".join(scalar(f"{PREFIX}_{name}_total", text, "counter", n) for name, text, n in counters)
+def metrics_lines(frames: DataFrame, classified: DataFrame, flows: DataFrame, per_flow_apps: bool = False) -> DataFrame:
+    """(family, line, text): metrics in the Prometheus text format, every sample of every family.
+
+    per_flow_apps counts connections, not packets, per application. Lines of a family are in order of number and label.
+    """
+    single = [("packets", "Packets past the transport gate"), ("bytes", "Bytes of these packets"), ("tcp_packets", "TCP packets"), ("udp_packets", "UDP packets"), ("forwarded", "Packets forwarded"), ("dropped", "Packets dropped by a rule")]
+    t = totals(frames, classified).first()  # one row
+    one = lambda n: classified.sparkSession.createDataFrame([(0, "", f" {n}")], "n long, label string, text string")
+    families = [(f"{name}_total", text, "counter", one(t[name])) for name, text in single]
     if per_flow_apps:
-        out += scalar(f"{PREFIX}_active_connections", "Flows seen", "gauge", flows.count())
-        return out + labelled(f"{PREFIX}_app_connections", "Flows per application", "gauge", "app", _series(app_flows(flows), "app", "flows"))
-    out += labelled(f"{PREFIX}_app_packets_total", "Packets per application", "counter", "app", _series(app_packets(classified), "app", "packets"))
-    out += labelled(f"{PREFIX}_signature_label_flows", "Flows per signature label", "counter", "label", _series(flows_by(flows, "label"), "label", "flows"))
-    return out + labelled(f"{PREFIX}_ja4_flows", "Flows per JA4 fingerprint", "counter", "ja4", _series(flows_by(flows, "ja4"), "ja4", "flows"))
+        active = flows.agg(F.lit(0).cast("long").alias("n"), F.lit("").alias("label"), F.format_string(" %d", F.count(F.lit(1))).alias("text"))
+        families += [("active_connections", "Flows seen", "gauge", active), ("app_connections", "Flows per application", "gauge", _labels(app_flows(flows), "app", "flows"))]
+    else:
+        families += [
+            ("app_packets_total", "Packets per application", "counter", _labels(app_packets(classified), "app", "packets")),
+            ("signature_label_flows", "Flows per signature label", "counter", _labels(flows_by(flows, "label"), "label", "flows")),
+            ("ja4_flows", "Flows per JA4 fingerprint", "counter", _labels(flows_by(flows, "ja4"), "ja4", "flows")),
+        ]
+    lines = functools.reduce(DataFrame.unionByName, [_family(k, *f) for k, f in enumerate(families)])
+    line = F.row_number().over(Window.partitionBy("family").orderBy("part", "n", "label")) - 1
+    return lines.select("family", line.alias("line"), "text")
+
+
+def metrics_text(frames: DataFrame, classified: DataFrame, flows: DataFrame, per_flow_apps: bool = False) -> str:
+    """The lines as one text for a scraper, which holds all it is sent."""
+    return "".join(f"{r.text}\n" for r in metrics_lines(frames, classified, flows, per_flow_apps).orderBy("family", "line").toLocalIterator())
+
+
+def _series(df: DataFrame, key: str, n: str) -> list[tuple[str, int]]:
+    return [(r[key], r[n]) for r in df.orderBy(F.desc(n), key).toLocalIterator()]
 
 
 def report_text(frames: DataFrame, classified: DataFrame, flows: DataFrame, profile: str = "mt") -> str:
@@ -136,7 +167,7 @@ def report_text(frames: DataFrame, classified: DataFrame, flows: DataFrame, prof
         lines.append(f"  Active flows   {flows.count():>12}")
     lines += ["", "APPLICATION BREAKDOWN"]
     lines += [f"  {r['app']:<15}{r['packets']:>8} {100.0 * r['packets'] / packets if packets else 0:>5.1f}% {r['bar']}" for r in app_packets(classified).orderBy(F.desc("packets"), "app").collect()]
-    shown = [("DETECTED NAMES", [f"  {r['sni']} -> {r['app']}" for r in names_seen(classified).orderBy("sni").limit(SERIES).collect()])]
+    shown = [("DETECTED NAMES", [f"  {r['sni']} -> {r['app']}" for r in names_seen(classified).orderBy("sni").toLocalIterator()])]
     shown += [(title, [f"  {label}  x{n}" for label, n in _series(flows_by(flows, c), c, "flows")]) for title, c in (("SIGNATURE LABELS", "label"), ("JA3", "ja3"), ("JA4", "ja4"))]
     for title, rows in shown:
         if rows:

@@ -173,11 +173,17 @@ def app_of_host(host: Column, rules: list[Rule]) -> Column:
     return F.when(F.coalesce(host, F.lit("")) == "", "Unknown").otherwise(app_of_label(of_rule(host_rule(host, rules), [r.app for r in rules])))
 
 
+#: Rules of a table that hosts are matched with.
+MOST_RULES = 100_000
+
+
 def match_hosts(df: DataFrame, host_col: str, rules: DataFrame) -> DataFrame:
     """df with ord and app of the first matching rule; rules is a table as frame() makes it, for rule sets too long for an expression.
 
-    Distinct hosts meet the broadcast rules once each; rule sets are driver-side text, so their size is bounded.
+    Distinct hosts meet the rules once each. The rules go to every task, so there may be MOST_RULES of them at most.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     hosts = df.select(F.col(host_col).alias("_host")).filter("_host is not null").distinct().withColumn("_h", ascii_lower(F.col("_host")))
     own = rules.filter(F.col("kind").isin(*HOST_KINDS))
     hit = ((F.col("kind") == "suffix") & ((F.col("_h") == F.col("pattern")) | F.endswith("_h", F.concat(F.lit("."), "pattern")))) | ((F.col("kind") == "contains") & F.contains("_h", F.col("pattern"))) | ((F.col("kind") == "exact") & (F.col("_h") == F.col("pattern")))

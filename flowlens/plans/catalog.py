@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from flowlens.functions import fingerprint, l7, text
 from flowlens.functions.decode import decode, transport_only
 from flowlens.operators import classify, explain, flows, policy, reassembly, reports, signatures
-from flowlens.schemas import FLOW_KEY
+from flowlens.schemas import FLIGHT_BYTES, FLIGHT_SEGMENTS, FLOW_KEY
 from flowlens.sources import synthetic
 from flowlens.streaming.flows import rates
 
@@ -154,12 +154,19 @@ def flow_stats(spark, sf_dir):
     return own.withColumn("src_port", F.col("src_port").cast("long"))
 
 
-@query(f"{P} SELECT CASE WHEN back THEN dst_ip ELSE src_ip END AS client_ip, CASE WHEN back THEN src_ip ELSE dst_ip END AS server_ip, protocol, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, CAST(sum(payload) AS BIGINT) AS client_bytes, arg_min(epoch_us(ts) // 1000000, event_id) AS ts_first, arg_max(epoch_us(ts) // 1000000, event_id) AS ts_last FROM (SELECT *, false AS back FROM packets WHERE dst_port IN (443, 80, 53)) GROUP BY ALL")
+#: Flows of both directions: a well-known port makes the server, else the smaller address, its first octet counting least, the client.
+C = f"""{P}, w AS (
+    SELECT *, dst_port NOT IN (443, 80, 53) AND 10 + (user_id // 256) * 65536 + (user_id % 256) * 16777216 > 172 + 16 * 256 + k * 16777216::BIGINT AS back FROM packets
+), c AS (
+    SELECT *, CASE WHEN back THEN dst_ip ELSE src_ip END AS client_ip, CASE WHEN back THEN dst_port ELSE src_port END AS client_port, CASE WHEN back THEN src_ip ELSE dst_ip END AS server_ip, CASE WHEN back THEN src_port ELSE dst_port END AS server_port FROM w
+)"""
+
+
+@query(f"{C} SELECT client_ip, client_port, server_ip, server_port, protocol, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, CAST(sum(CASE WHEN back THEN 0 ELSE payload END) AS BIGINT) AS client_bytes, CAST(sum(CASE WHEN back THEN payload ELSE 0 END) AS BIGINT) AS server_bytes, arg_min(epoch_us(ts) // 1000000, event_id) AS ts_first, arg_max(epoch_us(ts) // 1000000, event_id) AS ts_last, min(event_id) AS first_packet FROM c GROUP BY client_ip, client_port, server_ip, server_port, protocol")
 def canonical_flow_stats(spark, sf_dir):
-    """Flows of both directions together, by well-known port."""
-    own = transport_only(tables.event_packets(spark, sf_dir)).filter("dst_port in (443, 80, 53)")
-    out = flows.canonical_stats(own)
-    return out.groupBy("client_ip", "server_ip", "protocol").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("client_bytes").alias("client_bytes"), F.min_by("ts_first", "first_packet").alias("ts_first"), F.max("ts_last").alias("ts_last"))
+    """Flows of both directions together: packets, bytes of either side, first and last time."""
+    out = flows.canonical_stats(transport_only(tables.event_packets(spark, sf_dir))).drop("duration", "first_arrival")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("client_port", "server_port")})
 
 
 @query(f"{P}, fl AS (SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS packets FROM packets GROUP BY ALL), rv AS (SELECT dst_ip AS src_ip, src_ip AS dst_ip, dst_port AS src_port, src_port AS dst_port, protocol, packets + 1 AS reverse_packets FROM fl WHERE packets > 1), al AS (SELECT * FROM fl UNION ALL SELECT src_ip, dst_ip, src_port, dst_port, protocol, reverse_packets FROM rv) SELECT a.src_ip, a.dst_ip, a.src_port, a.dst_port, a.protocol, a.packets, b.packets AS reverse_packets FROM al a JOIN al b ON a.src_ip = b.dst_ip AND a.dst_ip = b.src_ip AND a.src_port = b.dst_port AND a.dst_port = b.src_port AND a.protocol = b.protocol")
@@ -251,12 +258,13 @@ def tls_sni_extract(spark, sf_dir):
 _CIPHERS = "list_filter([CAST(p_size AS INTEGER) * 257, 4865, 2570, 49195 + CAST(p_size AS INTEGER) % 7], lambda x: x <> 2570)"
 
 
-@query(
-    f"""WITH c AS (SELECT p_partkey, {_CIPHERS} AS own FROM part), g AS (SELECT p_partkey, list_filter(own, lambda x: NOT ((x & 3855) = 2570 AND (x >> 8) = (x & 255))) AS own FROM c)
+_JA_SQL = f"""WITH c AS (SELECT p_partkey, {_CIPHERS} AS own FROM part), g AS (SELECT p_partkey, list_filter(own, lambda x: NOT ((x & 3855) = 2570 AND (x >> 8) = (x & 255))) AS own FROM c)
     SELECT p_partkey, '771,' || list_aggregate(own, 'string_agg', '-') || ',0-43,,' AS ja3_string, md5('771,' || list_aggregate(own, 'string_agg', '-') || ',0-43,,') AS ja3,
         't13d' || lpad(CAST(len(own) AS VARCHAR), 2, '0') || '0200_' || substr(sha256(list_aggregate(list_transform(list_sort(own), lambda x: lpad(lower(to_hex(x)), 4, '0')), 'string_agg', ',')), 1, 12) || '_' || substr(sha256('002b_'), 1, 12) AS ja4
     FROM g"""
-)
+
+
+@query(_JA_SQL)
 def tls_ja3_ja4(spark, sf_dir):
     """Fingerprints of hellos whose cipher lists come from parts; GREASE values do not count."""
     size = F.col("p_size").cast("int")
@@ -291,11 +299,11 @@ def block_reason(spark, sf_dir):
     return found.select("frame_no", "r.kind", "r.detail")
 
 
-@query(f"{P} SELECT event_id AS frame_no, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey <= 40 AND '10.0.0.' || s_suppkey = src_ip) AS listed FROM packets")
+@query(f"{P} SELECT event_id AS frame_no, EXISTS (SELECT 1 FROM supplier WHERE '10.0.0.' || s_suppkey = src_ip) AS listed FROM packets")
 def listed_addresses(spark, sf_dir):
     """Semi and anti lookups of addresses in a rule table."""
     own = transport_only(tables.event_packets(spark, sf_dir))
-    suppliers = tables.table(spark, sf_dir, "supplier").filter("s_suppkey <= 40")
+    suppliers = tables.table(spark, sf_dir, "supplier")
     rules = suppliers.select(F.lit("ip").alias("kind"), F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")).alias("value"))
     both = [policy.blocked_rows(own, rules, "ip", "src_ip", keep).select("frame_no", F.lit(keep).alias("listed")) for keep in (True, False)]
     return both[0].unionByName(both[1])
@@ -315,19 +323,38 @@ def first_flight_contiguous(spark, sf_dir):
     return out.select("flow_id", "segments", size.alias("contiguous_bytes"), (size > 0).alias("any_bytes"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS flow_id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id HAVING sum(strlen(text)) < 16384 AND count(*) < 64")
-def first_flight_text(spark, sf_dir):
-    """Reassembly of conversations whose turns arrive last first."""
+def _flight_sql(max_bytes: int, max_segments: int) -> str:
+    """What the caps leave of a conversation whose turns arrive last first: nothing if the first turn comes too late."""
+    return f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+    p AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - strlen(text) AS at FROM t),
+    n AS (SELECT conv_id, count(*) FILTER (WHERE strlen(text) > 0 AND at < {max_bytes}) AS segments, substr(hex(encode(string_agg(text, '' ORDER BY turn))), 1, {2 * max_bytes}) AS taken FROM p GROUP BY conv_id)
+    SELECT CAST(conv_id AS VARCHAR) AS flow_id, CASE WHEN segments > {max_segments} THEN md5('') ELSE md5(unhex(taken)) END AS digest FROM n"""
+
+
+def _flight_of_turns(spark: SparkSession, sf_dir: str, **caps: int) -> DataFrame:
     turns = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("flow_id"), "turn", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     before = Window.partitionBy("flow_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("seq", 1001 + F.coalesce(F.sum(F.octet_length("data")).over(before), F.lit(0)))
     segments = placed.select("flow_id", (F.lit(1 << 40) - F.col("turn")).alias("ord"), "seq", F.lit(False).alias("syn"), "data")
     syns = turns.select("flow_id").distinct()
     whole = syns.select("flow_id", F.lit(0).cast("long").alias("ord"), F.lit(1000).cast("long").alias("seq"), F.lit(True).alias("syn"), F.lit(None).cast("binary").alias("data"))
-    out = reassembly.reassemble(segments.unionByName(whole))
+    out = reassembly.reassemble(segments.unionByName(whole), **caps)
     return out.select("flow_id", F.md5("contiguous").alias("digest"))
 
 
+@query(_flight_sql(FLIGHT_BYTES, FLIGHT_SEGMENTS))
+def first_flight_text(spark, sf_dir):
+    """Reassembly of conversations whose turns arrive last first."""
+    return _flight_of_turns(spark, sf_dir)
+
+
+@query(_flight_sql(300, 3))
+def first_flight_capped(spark, sf_dir):
+    """The same with caps that most conversations meet: 300 bytes and three segments."""
+    return _flight_of_turns(spark, sf_dir, max_bytes=300, max_segments=3)
+
+
 @query(f"{P} SELECT event_id AS frame_no, CASE WHEN dst_port = 53 THEN 'DNS' WHEN protocol = 6 AND dst_port IN (443, 80) AND NOT syn THEN {tables.HOST_APP_SQL} WHEN protocol = 6 AND dst_port = 443 THEN 'HTTPS' WHEN protocol = 6 AND dst_port = 80 THEN 'HTTP' ELSE 'Unknown' END AS app, dst_port = 53 OR (protocol = 6 AND dst_port IN (443, 80) AND NOT syn) AS decided, CASE WHEN dst_port = 53 THEN 'DNS query ''' || host || '''' WHEN protocol = 6 AND dst_port IN (443, 80) AND syn THEN 'port-based (still waiting for the first flight)' WHEN protocol = 6 AND dst_port IN (443, 80) THEN CASE dst_port WHEN 443 THEN 'SNI' ELSE 'HTTP Host' END || ' ''' || host || ''' ' || CASE WHEN host = 'x.com' THEN 'matched signature [suffix x.com]' WHEN {tables.HOST_APP_SQL} <> 'HTTPS' THEN 'matched signature [contains ' || CASE host WHEN 'cdn.discordapp.com' THEN 'discord' WHEN 'login.microsoftonline.com' THEN 'microsoft' ELSE lower({tables.HOST_APP_SQL}) END || ']' ELSE 'present but matched no signature' END ELSE 'no classifier applies (not 53/80/443 TCP/UDP)' END AS reason FROM packets")
 def flow_verdicts(spark, sf_dir):
     """The verdict on the facts of each single packet, with its reason."""
@@ -338,18 +365,144 @@ def flow_verdicts(spark, sf_dir):
     return classify.verdict(facts, signatures.builtin()).select("frame_no", "app", "decided", "reason")
 
 
+_TRACED = f"""{C}, d AS (
+    SELECT *, protocol = 6 AND server_port IN (443, 80) AND NOT back AS flight, 53 IN (src_port, dst_port) AS dns FROM c
+), f AS (
+    SELECT client_ip, client_port, server_ip, server_port, protocol, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, CAST(sum(CASE WHEN back THEN 0 ELSE payload END) AS BIGINT) AS client_bytes,
+        min(event_id) AS first_packet, bool_or(syn) AS syn, bool_or(dns) AS dns, bool_or(flight) AS flight, bool_or(flight AND NOT syn) AS found, any_value(host) AS host, any_value({tables.HOST_APP_SQL}) AS app
+    FROM d GROUP BY client_ip, client_port, server_ip, server_port, protocol
+), v AS (
+    SELECT *, CASE WHEN dns THEN 'DNS' WHEN found AND app = 'HTTPS' AND server_port = 80 THEN 'HTTP' WHEN found THEN app WHEN flight AND server_port = 443 THEN 'HTTPS' WHEN flight THEN 'HTTP' ELSE 'Unknown' END AS label, dns OR found AS decided,
+        client_ip = '10.0.0.7' AS by_ip, found AND app = 'YouTube' AS by_app FROM f
+)
+SELECT client_ip || ':' || client_port AS src, server_ip || ':' || server_port AS dst, protocol AS proto, packets, bytes, client_bytes, first_packet, syn,
+    CASE WHEN found AND server_port = 443 THEN host ELSE '' END AS sni, CASE WHEN found AND server_port = 80 THEN host ELSE '' END AS http_host, CASE WHEN dns THEN host ELSE '' END AS dns_qname, label AS app,
+    CASE WHEN decided AND (by_ip OR by_app) THEN 'DROP' ELSE 'FORWARD' END AS verdict,
+    CASE WHEN NOT decided THEN '' WHEN by_ip THEN 'ip rule ''10.0.0.7''' WHEN by_app THEN 'app rule ''YouTube''' ELSE 'no block rule matched' END AS block_reason
+FROM v"""
+
+
+@query(_TRACED)
+def explain_verdicts(spark, sf_dir):
+    """What the traces of all flows say in the end."""
+    out = explain.explain(tables.event_packets(spark, sf_dir), None, _rules(), max_flows=None)
+    return out.select("src", "dst", "proto", "packets", "bytes", "client_bytes", "first_packet", F.col("tcp.syn").alias("syn"), "sni", "http_host", "dns_qname", "app", "verdict", "block_reason")
+
+
 @query()
 def explain_trace(spark, sf_dir):
     """Traces of the twelve flows seen first."""
     return explain.explain(tables.event_packets(spark, sf_dir), None, _rules()).drop("text")
 
 
-@query()
+_FLOWS_ONCE = "SELECT DISTINCT user_id, k, protocol, dst_port, final_app, decided FROM packets"
+
+
+def _metrics_sql() -> str:
+    single = [
+        ("packets", "Packets past the transport gate", "count(*)"),
+        ("bytes", "Bytes of these packets", "CAST(sum(len) AS BIGINT)"),
+        ("tcp_packets", "TCP packets", "count(*) FILTER (WHERE protocol = 6)"),
+        ("udp_packets", "UDP packets", "count(*) FILTER (WHERE protocol = 17)"),
+        ("forwarded", "Packets forwarded", "count(*) FILTER (WHERE NOT blocked)"),
+        ("dropped", "Packets dropped by a rule", "count(*) FILTER (WHERE blocked)"),
+    ]
+    several = [
+        ("app_packets_total", "Packets per application", "counter", "app", "SELECT app AS label, count(*) AS n FROM packets GROUP BY app"),
+        ("signature_label_flows", "Flows per signature label", "counter", "label", f"SELECT final_app AS label, count(*) AS n FROM ({_FLOWS_ONCE}) WHERE decided IS NOT NULL AND dst_port = 443 AND final_app <> 'HTTPS' GROUP BY final_app"),
+        ("ja4_flows", "Flows per JA4 fingerprint", "counter", "ja4", f"SELECT 't13d0202' || '00_' || substr(sha256('1301,1302'), 1, 12) || '_' || substr(sha256('002b_'), 1, 12) AS label, count(*) AS n FROM ({_FLOWS_ONCE}) WHERE decided IS NOT NULL AND dst_port = 443 HAVING count(*) > 0"),
+    ]
+    named = [(f"{n}_total", t, "counter") for n, t, _ in single] + [x[:3] for x in several]
+    parts = [f"SELECT {k} AS family, 0 AS part, {m}::BIGINT AS n, '' AS label, '# {word} flowlens_{name} {said}' AS text" for k, (name, help_, kind) in enumerate(named) for m, (word, said) in enumerate((("HELP", help_), ("TYPE", kind)))]
+    parts += [f"SELECT {k}, 1, 0, '', 'flowlens_{n}_total ' || {count} FROM blocked" for k, (n, _, count) in enumerate(single)]
+    parts += [f"SELECT {len(single) + k}, 1, -n, label, 'flowlens_{name}{{{key}=\"' || label || '\"}} ' || n FROM ({rows})" for k, (name, _, _, key, rows) in enumerate(several)]
+    return f"{B}, l AS ({' UNION ALL '.join(parts)}) SELECT CAST(family AS INTEGER) AS family, CAST(row_number() OVER (PARTITION BY family ORDER BY part, n, label) - 1 AS INTEGER) AS line, text FROM l"
+
+
+@query(_metrics_sql())
 def prometheus_text(spark, sf_dir):
     """Metrics of the events, a row for each line."""
     packets = tables.event_packets(spark, sf_dir)
-    lines = reports.metrics_text(packets, _classified(spark, sf_dir), classify.classified_flows(packets, signatures.builtin()))
-    return spark.createDataFrame(list(enumerate(lines.splitlines())), "line int, text string")
+    return reports.metrics_lines(packets, _classified(spark, sf_dir), classify.classified_flows(packets, signatures.builtin()))
+
+
+@query(f"{B} SELECT event_id, app, sni, final_app, blocked FROM blocked")
+def captures_in_parts(spark, sf_dir):
+    """The events dealt into three captures, each with numbers of its own: the same results as from one."""
+    frames = tables.event_frames(spark, sf_dir).withColumn("event_id", F.col("frame_no"))
+    dealt = frames.withColumns({"source": F.concat(F.lit("part "), (2 - F.col("event_id") % 3).cast("string")), "frame_no": F.floor(F.col("event_id") / 3), "arrived": F.col("event_id")})
+    return classify.classify_packets(decode(dealt), None, _rules()).select("event_id", "app", "sni", "final_app", "blocked")
+
+
+def _cut_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth frame cut short."""
+    short = F.when(F.col("frame_no") % 4 == 0, F.substring("data", F.lit(1), (F.col("frame_no") % 61).cast("int"))).otherwise(F.col("data"))
+    return decode(tables.event_frames(spark, sf_dir).withColumn("data", short))
+
+
+_CUT = f"""{tables.EVENTS_SQL.strip()}, cut AS (SELECT *, CASE event_id % 4 WHEN 0 THEN least(len, event_id % 61) ELSE len END AS n FROM r),
+    seen AS (SELECT *, n >= 34 AS has_ip, CASE protocol WHEN 6 THEN 54 ELSE 42 END AS need FROM cut)"""
+
+
+@query(f"WITH {_CUT} SELECT event_id AS frame_no, CAST(n AS BIGINT) AS frame_bytes, has_ip, n >= need AS parse_ok, CASE WHEN n >= need THEN CAST(n - need AS BIGINT) END AS payload_length, CASE WHEN n >= need THEN dst_port END AS dst_port FROM seen")
+def malformed_frames(spark, sf_dir):
+    """What can be decoded of frames, every fourth of which is cut short."""
+    return _cut_frames(spark, sf_dir).select("frame_no", "has_ip", "parse_ok", *[F.col(c).cast("long").alias(c) for c in ("frame_bytes", "payload_length")], "dst_port")
+
+
+@query(f"WITH {_CUT} SELECT count(*) AS frames, CAST(sum(n) AS BIGINT) AS frame_bytes, count(*) FILTER (WHERE n < need) AS parse_errors, count(*) FILTER (WHERE n >= need) AS packets, count(*) FILTER (WHERE n >= need AND protocol = 6) AS tcp_packets, count(*) FILTER (WHERE n >= need AND protocol = 17) AS udp_packets FROM seen")
+def frame_totals(spark, sf_dir):
+    """Totals of these frames, with parse errors."""
+    return reports.frame_totals(_cut_frames(spark, sf_dir)).drop("bytes")
+
+
+@query(f"WITH {tables.EVENTS_SQL} SELECT event_id AS frame_no, '02:00:00:00:00:01' AS src_mac, '02:00:00:00:00:02' AS dst_mac, 2048::BIGINT AS ether_type, 4 AS ip_version, 64 AS ttl, CAST(10 + (user_id // 256) * 65536 + (user_id % 256) * 16777216 AS BIGINT) AS src_ip_le FROM r")
+def link_fields(spark, sf_dir):
+    """Link and network fields of every frame."""
+    return tables.event_packets(spark, sf_dir).select("frame_no", "src_mac", "dst_mac", "ether_type", "ip_version", "ttl", "src_ip_le")
+
+
+#: Flags of an event's packet, by its number.
+_FLAGS = [0x02, 0x12, 0x10, 0x18, 0x11, 0x14, 0x02]
+_FLAGS_SQL = f"CASE (event_id // 3) % 7 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_FLAGS))} END"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {_FLAGS_SQL} AS f FROM events), g AS (
+    SELECT user_id, min(event_id) FILTER (WHERE f & 18 = 2) AS s, min(event_id) FILTER (WHERE f & 18 = 18) AS a, min(event_id) FILTER (WHERE f & 1 = 1) AS fin, min(event_id) FILTER (WHERE f & 4 = 4) AS rst, max(event_id) FILTER (WHERE f & 16 = 16) AS ack FROM e GROUP BY user_id
+), h AS (SELECT *, s IS NOT NULL AND a IS NOT NULL AND coalesce(ack >= greatest(s, a), false) AS established FROM g)
+SELECT user_id, s IS NOT NULL AS syn, a IS NOT NULL AS syn_ack, fin IS NOT NULL AS fin, rst IS NOT NULL AS rst, established, CASE WHEN rst IS NOT NULL OR coalesce(ack >= fin, false) THEN 'CLOSED' WHEN established THEN 'ESTABLISHED' ELSE 'NEW' END AS state FROM h""")
+def tcp_state_flows(spark, sf_dir):
+    """The state each user's connection ends in, packets in both directions."""
+    user, back = F.col("user_id"), F.col("event_id") % 2 == 1
+    ends = {
+        "ip": (F.format_string("10.0.%d.%d", F.floor(user / 256), user % 256), F.lit("172.16.0.1")),
+        "ip_le": (10 + F.floor(user / 256) * 65536 + user % 256 * 16777216, F.lit(172 + 16 * 256 + (1 << 24)).cast("long")),
+        "port": (F.lit(50000), F.lit(443)),
+    }
+    flags = F.get(F.lit(_FLAGS), (F.floor(F.col("event_id") / 3) % 7).cast("int"))
+    sides = [F.when(back, pair[1 - k]).otherwise(pair[k]).alias(f"{side}_{name}") for name, pair in ends.items() for k, side in enumerate(("src", "dst"))]
+    packets = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_no"), F.lit(True).alias("has_tcp"), flags.alias("tcp_flags"), F.lit(6).alias("protocol"), *sides)
+    octet = lambda k: F.split_part("client_ip", F.lit("."), F.lit(k)).cast("long")
+    return flows.tcp_states(packets).select((octet(3) * 256 + octet(4)).alias("user_id"), "syn", "syn_ack", "fin", "rst", "established", "state")
+
+
+#: Rules over the fingerprints of parts' hellos.
+PART_RULES = "ja3 771,257-4865-49196,0-43,, One\nja4prefix t13d0302 Three\nja4prefix t13d0402 Four\nja4prefix t13 Other\n"
+
+
+@query(f"""WITH f AS ({_JA_SQL})
+    SELECT p_partkey, CASE WHEN ja3_string = '771,257-4865-49196,0-43,,' THEN 'One' WHEN starts_with(ja4, 't13d0302') THEN 'Three' WHEN starts_with(ja4, 't13d0402') THEN 'Four' ELSE 'Other' END AS label FROM f""")
+def fingerprint_rules(spark, sf_dir):
+    """Labels of hellos by rules over JA3 and JA4; a rule over JA3 comes before any over JA4."""
+    prints = tls_ja3_ja4(spark, sf_dir)
+    return prints.select("p_partkey", signatures.label(None, F.col("ja3_string"), F.col("ja3"), F.col("ja4"), signatures.parse(PART_RULES)).alias("label"))
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 4 THEN 'TLS1.3' WHEN 3 THEN 'TLS1.2' WHEN 2 THEN 'TLS1.1' WHEN 1 THEN 'TLS1.0' WHEN 0 THEN 'SSL3.0' ELSE '?' END AS version, CASE p_size WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'Unknown(' || p_size || ')' END AS protocol FROM part")
+def text_forms(spark, sf_dir):
+    """Names of TLS versions and protocols."""
+    size = F.col("p_size").cast("int")
+    return tables.table(spark, sf_dir, "part").select("p_partkey", text.tls_version_text(0x0300 + size % 6).alias("version"), text.protocol_text(size).alias("protocol"))
 
 
 @query()

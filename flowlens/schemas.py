@@ -1,6 +1,8 @@
 """Schemas of captures, decoded packets, rules and flow decisions."""
 
 FRAMES = "source string, frame_no long, ts_sec long, ts_usec int, incl_len long, orig_len long, link_type int, data binary"
+#: Frames of a capture, with the latest time in it so far, in microseconds.
+CAPTURED = FRAMES + ", arrived long"
 
 #: The TLS client hello as the extractor sees it; sizes and order as on the wire.
 HELLO = "valid boolean, has_sni boolean, sni string, legacy_version int, negotiated_version int, ciphers array<int>, extensions array<int>, groups array<int>, ec_formats array<int>, sig_algs array<int>, alpn array<binary>"

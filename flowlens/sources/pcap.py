@@ -1,12 +1,16 @@
 """Captures as a Spark data source: batch and streaming reader, and writer.
 
 `spark.read.format("pcap").load(path)` gives a row for each frame; one partition per file, as records chain. A file that
-breaks off, or has a record beyond its own limit, ends there; with the option `reasons` its last row says why.
+breaks off, or has a record beyond its own limit, ends there; with the option `reasons` its last row says why. The column
+`arrived` is the latest time in the file so far: with it frames of several captures are one stream in order of time, in
+which each capture keeps its own order.
 """
 
 from __future__ import annotations
 
+import contextlib
 import glob
+import itertools
 import os
 import struct
 import uuid
@@ -16,7 +20,7 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from flowlens.schemas import FRAMES
+from flowlens.schemas import CAPTURED
 
 MAGIC = 0xA1B2C3D4
 LARGEST = 65535
@@ -43,6 +47,19 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
+def _arrived(path: str) -> list[tuple[int, str]]:
+    """The captures at a path with the time each came under its name, in that order."""
+    if urlparse(path).scheme in ("", "file"):
+        # a rename sets the time of change, not that of modification
+        found = [(os.stat(p).st_ctime_ns, p) for p in (files_at(path) if os.path.isdir(_plain(path)) or glob.glob(_plain(path)) else [])]
+    else:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(path)
+        found = [(store.get_file_info(fs.FileSystem.from_uri(p)[1]).mtime_ns or 0, p) for p in files_at(path)]
+    return sorted(found)
+
+
 def files_at(path: str) -> list[str]:
     """The captures that a path, folder or pattern names, in order of name."""
     path = _plain(path)
@@ -71,7 +88,7 @@ def read_frames(path: str, reasons: bool = False, count: int | None = None) -> I
         if order is None:
             raise CaptureError(f"not a capture with microsecond records: {path}")
         snaplen, network = struct.unpack_from(f"{order}II", head, 16)
-        frame = 0
+        frame, arrived = 0, 0
         while count is None or frame < count:
             record = f.read(16)
             why = None
@@ -88,9 +105,10 @@ def read_frames(path: str, reasons: bool = False, count: int | None = None) -> I
                         why, data = "truncated record", None
             if data is None:
                 if reasons and why:
-                    yield (path, frame, None, None, None, None, network, None, why)
+                    yield (path, frame, None, None, None, None, network, None, arrived, why)
                 return
-            row = (path, frame, sec, usec, kept, original, network, data)
+            arrived = max(arrived, sec * 1_000_000 + usec)
+            row = (path, frame, sec, usec, kept, original, network, data, arrived)
             yield (*row, None) if reasons else row
             frame += 1
 
@@ -109,14 +127,15 @@ class _File(InputPartition):
 
 
 class PcapSource(DataSource):
-    """Options: path; reasons (a column `why` for what ended a file); count (frames of each file at most); snaplen."""
+    """Options: path; reasons (a column `why` for what ended a file); count (frames of each file at most); snaplen;
+    maxFilesPerTrigger (files of a stream's batch)."""
 
     @classmethod
     def name(cls) -> str:
         return "pcap"
 
     def schema(self) -> str:
-        return FRAMES + (", why string" if self._reasons() else "")
+        return CAPTURED + (", why string" if self._reasons() else "")
 
     def _reasons(self) -> bool:
         return str(self.options.get("reasons", "false")).lower() == "true"
@@ -130,7 +149,8 @@ class PcapSource(DataSource):
         return _Reader(self._path(), self._reasons(), self.options.get("count"))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Arrivals(self._path(), self._reasons())
+        most = self.options.get("maxFilesPerTrigger")
+        return _Arrivals(self._path(), self._reasons(), None if most is None else int(most))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self._path(), schema.names, int(self.options.get("snaplen", 0)), overwrite)
@@ -148,22 +168,27 @@ class _Reader(DataSourceReader):
 
 
 class _Arrivals(DataSourceStreamReader):
-    """Captures that come into a folder, in order of name; a finished file must come under its name at once, by a rename.
+    """Captures that come into a folder, in order of arrival; a finished file must come under its name at once, by a rename.
 
-    An offset is the last name so far, so a restarted query asks for the same files again; tasks read a file each.
+    An offset is the time and name of the last file taken, so a file of any name that comes later is later, and a
+    restarted query asks for the same files again; tasks read a file each. A batch takes at most `most` files.
     """
 
-    def __init__(self, path: str, reasons: bool):
-        self.path, self.reasons = path, reasons
+    def __init__(self, path: str, reasons: bool, most: int | None):
+        self.path, self.reasons, self.most, self.taken = path, reasons, most, (0, "")
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"time": 0, "after": ""}
 
     def latestOffset(self) -> dict:
-        return {"after": max(files_at(self.path), default="")}
+        new = [x for x in _arrived(self.path) if x > self.taken][: self.most]
+        time, after = new[-1] if new else self.taken
+        return {"time": time, "after": after}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(p) for p in files_at(self.path) if start["after"] < p <= end["after"]]
+        first, last = (start["time"], start["after"]), (end["time"], end["after"])
+        self.taken = max(self.taken, last)
+        return [_File(p) for t, p in _arrived(self.path) if first < (t, p) <= last]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         return read_frames(partition.path, self.reasons)
@@ -176,43 +201,57 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One capture per partition, under its name only once all are complete; frames in the order they come."""
+    """One capture per partition, under its name only once all are complete; frames in the order they come.
+
+    The folder is any that pyarrow reaches, so executors elsewhere write to the same place as the driver.
+    """
 
     def __init__(self, path: str, names: list[str], snaplen: int, overwrite: bool):
-        self.folder, self.names, self.snaplen, self.overwrite = _plain(path), names, snaplen, overwrite
+        self.path, self.names, self.snaplen, self.overwrite = path, names, snaplen, overwrite
         self.job = uuid.uuid4().hex[:8]
 
+    def _store(self):
+        from pyarrow import fs
+
+        if urlparse(self.path).scheme in ("", "file"):
+            return fs.LocalFileSystem(), os.path.abspath(_plain(self.path))
+        return fs.FileSystem.from_uri(self.path)
+
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        os.makedirs(self.folder, exist_ok=True)
-        temporary = f"{self.folder}/.part-{part:05d}-{self.job}-{uuid.uuid4().hex}"
-        n = 0
-        with open(temporary, "wb") as f:
-            for row in rows:
-                if not n:
-                    link = row["link_type"] if "link_type" in self.names else None
-                    f.write(header(ETHERNET if link is None else link, self.snaplen))
-                f.write(record(row["ts_sec"] or 0, row["ts_usec"] or 0, bytes(row["data"])))
-                n += 1
-        if not n:
-            os.remove(temporary)
+        store, folder = self._store()
+        store.create_dir(folder, recursive=True)
+        row = next(rows, None)
+        if row is None:
             return _Written(None, None)
-        return _Written(temporary, f"{self.folder}/part-{part:05d}-{self.job}.pcap")
+        temporary = f"{folder}/.part-{part:05d}-{self.job}-{uuid.uuid4().hex}"
+        with store.open_output_stream(temporary) as f:
+            link = row["link_type"] if "link_type" in self.names else None
+            f.write(header(ETHERNET if link is None else link, self.snaplen))
+            for row in itertools.chain([row], rows):
+                f.write(record(row["ts_sec"] or 0, row["ts_usec"] or 0, bytes(row["data"])))
+        return _Written(temporary, f"{folder}/part-{part:05d}-{self.job}.pcap")
 
     def commit(self, messages: list) -> None:
-        old = [p for p in glob.glob(f"{self.folder}/*.pcap")] if self.overwrite else []
+        from pyarrow import fs
+
+        store, folder = self._store()
+        store.create_dir(folder, recursive=True)
+        old = [x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".pcap")] if self.overwrite else []
         for m in messages:
             if m and m.final:
-                os.replace(m.temporary, m.final)
+                store.move(m.temporary, m.final)
         for p in old:
-            os.remove(p)
+            store.delete_file(p)
 
     def abort(self, messages: list) -> None:
+        store, _ = self._store()
         for m in messages:
-            if m and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and m.temporary:
+                with contextlib.suppress(FileNotFoundError):
+                    store.delete_file(m.temporary)
 
 
 def register(spark) -> None:

@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowlens.functions.decode import decode, transport_only
+from flowlens.functions.decode import ARRIVAL, decode, transport_only
 from flowlens.operators import classify, policy, signatures
 from flowlens.operators.reassembly import FirstFlight
-from flowlens.schemas import FLOW_KEY, IDLE_SECONDS
+from flowlens.schemas import APPS, FLOW_KEY, IDLE_SECONDS
 
 EVENTS_DDL = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, event string, frame_no long, app string, sni string, label string, ja3 string, ja4 string, packets long, bytes long"
 
 
+def _app(rule: signatures.Rule | None) -> str:
+    return rule.app if rule and rule.app in APPS[1:] else "HTTPS"
+
+
 class FlowProcessor(StatefulProcessor):
     """A flow's state: counters and first flight. Emits one row when a packet decides the flow, one when it ends idle."""
 
@@ -38,8 +42,8 @@ class FlowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
-        arrived = pd.concat(list(rows)).sort_values("frame_no", kind="stable")
-        for r in arrived.to_dict("records"):
+        arrived = pd.concat(list(rows))
+        for r in arrived.sort_values([c for c in ARRIVAL if c in arrived.columns], kind="stable").to_dict("records"):
             s["packets"] += 1
             s["bytes"] += r["frame_bytes"]
             s["last"] = max(s["last"], int(pd.Timestamp(r["ts"]).timestamp() * 1000))
@@ -75,10 +79,10 @@ class FlowProcessor(StatefulProcessor):
             return {"app": "HTTPS" if dst_port == 443 else "HTTP"}
         rule = signatures.match_host(host, self.rules) if host else None
         if via == "http":
-            return {"app": classify._known(rule.app if rule else "") if host else "Unknown", "sni": host}
+            return {"app": _app(rule) if host else "Unknown", "sni": host}
         text, ja3, ja4 = fingerprint.ja3_string_of(hello), fingerprint.ja3_of(hello), fingerprint.ja4_of(hello)
         rule = rule or signatures.match_ja3(text, ja3, self.rules) or signatures.match_ja4(ja4, self.rules)
-        return {"app": classify._known(rule.app if rule else ""), "sni": host, "label": rule and rule.app, "ja3": ja3, "ja4": ja4}
+        return {"app": _app(rule), "sni": host, "label": rule and rule.app, "ja3": ja3, "ja4": ja4}
 
     def _row(self, key: tuple, event: str, frame_no: int | None, s: dict) -> tuple:
         found = s["decided"] or {"app": {443: "HTTPS", 80: "HTTP"}.get(key[3], "Unknown") if key[4] == 6 else "Unknown"}
@@ -88,10 +92,10 @@ class FlowProcessor(StatefulProcessor):
 def flow_events(frames: DataFrame, rules: list[signatures.Rule] | None = None, idle: int = IDLE_SECONDS, late: str = "10 minutes") -> DataFrame:
     """A stream of frames -> a stream of flow events; state is dropped once a flow is idle in event time.
 
-    Needs the RocksDB state store provider. Within a batch frames are taken in order of frame_no.
+    Needs the RocksDB state store provider. Within a batch frames are taken in order of arrival.
     """
     packets = transport_only(decode(frames)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    own = packets.select(*FLOW_KEY, "ts", "frame_no", "frame_bytes", "seq", "tcp_flags", "payload")
+    own = packets.select(*FLOW_KEY, "ts", *[c for c in ARRIVAL if c in packets.columns], "frame_bytes", "seq", "tcp_flags", "payload")
     processor = FlowProcessor(signatures.builtin() if rules is None else rules, idle)
     return own.groupBy(*FLOW_KEY).transformWithStateInPandas(statefulProcessor=processor, outputStructType=EVENTS_DDL, outputMode="Append", timeMode="EventTime")
 
@@ -111,15 +115,22 @@ def live_totals(frames: DataFrame) -> DataFrame:
     return own.groupBy().agg(F.count(F.lit(1)).alias("packets"), F.sum("frame_bytes").alias("bytes"), F.count_if("has_tcp").alias("tcp_packets"), F.count_if("has_udp").alias("udp_packets"))
 
 
+def late_packets(packets: DataFrame, behind: str = "10 minutes") -> DataFrame:
+    """Packets of a batch that are further behind its latest one than a watermark allows: the side output of foreachBatch."""
+    own = packets.withColumn("ts", F.col("ts").cast("timestamp"))
+    latest = own.agg(F.max("ts").alias("_latest"))  # one row
+    return own.join(F.broadcast(latest), F.col("ts") < F.col("_latest") - F.expr(f"INTERVAL {behind}")).drop("_latest")
+
+
 def with_rules_of_each_batch(sink: Callable[[DataFrame, int], None], load_rules: Callable[[], policy.BlockRules]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that reads the rules anew for every batch, then forwards the packets they let pass.
+    """A foreachBatch function that reads the rules anew for every batch, then hands on what they let pass.
 
-    Flow events of the batch carry app and sni; a rule added while the stream runs holds from the next batch on.
+    Rows have src_ip, dst_port, app and sni, as classified packets and flow events have; a rule added while the stream
+    runs holds from the next batch on.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        rules = load_rules()
-        hit = policy.block_reason(rules, F.col("src_ip"), F.col("dst_port"), F.col("app"), F.col("sni"))
-        sink(batch.withColumn("block", hit), number)
+        hit = policy.block_reason(load_rules(), F.col("src_ip"), F.col("dst_port"), F.col("app"), F.col("sni"))
+        sink(batch.filter(hit.isNull()), number)
 
     return run

@@ -135,7 +135,7 @@ def test_block_reasons(spark):
     cases = [("1.1.1.1", 25, "YouTube", "a.org", ("ip", "1.1.1.1")), ("2.2.2.2", 25, "YouTube", "a.org", ("port", "25")), ("2.2.2.2", 1, "YouTube", "", ("app", "YouTube")), ("2.2.2.2", 1, "X", "a.org", ("domain", "a.org")), ("2.2.2.2", 1, "X", "A.org", None), ("2.2.2.2", 1, "X", "z.b.ORG", ("domain", "z.b.ORG")), ("2.2.2.2", 1, "X", "b.org", ("domain", "b.org")), ("2.2.2.2", 1, "X", "zb.org", None), ("2.2.2.2", 1, "X", "xy", None), ("2.2.2.2", 1, "X", None, None)]
     df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, ip string, port int, app string, name string")
     got = [r_.r and tuple(r_.r) for r_ in df.select("k", policy.block_reason(r, F.col("ip"), F.col("port"), F.col("app"), F.col("name")).alias("r")).orderBy("k").collect()]
-    assert got == [c[4] for c in cases] == [explain.block_of(r, c[0], c[1], c[2], c[3] or "") for c in cases]
+    assert got == [c[4] for c in cases]
     sub = rules(domain=["tube"])
     assert [x.b for x in df.select(policy.blocked_by_substring(sub, F.col("ip"), F.col("app"), F.lit("youtube.com")).alias("b")).limit(1).collect()] == [True]
 
@@ -194,18 +194,33 @@ def test_a_block_sticks_to_the_flow(spark):
     assert [r.blocked for r in early] == [True, True, True, False]
 
 
-def test_verdict_expression_equals_the_function(spark):
+FACTS = "protocol int, dst_port int, is_dns boolean, sni string, http_host string, dns_qname string, ja3_string string, ja3 string, ja4 string, clienthello_seen boolean, first_flight_full boolean"
+#: What is known of a flow -> application, label, reason and whether it is decided.
+VERDICTS = [
+    ((17, 53, True, "", "", "", "", "", "", False, False), ("DNS", "DNS", "port 53", True)),
+    ((17, 53, True, None, None, "a.b", None, None, None, None, None), ("DNS", "DNS", "DNS query 'a.b'", True)),
+    ((6, 443, False, "", "", "", "", "", "", False, False), ("HTTPS", "HTTPS", "port-based (still waiting for the first flight)", False)),
+    ((6, 443, False, "", "", "", "", "", "", False, True), ("HTTPS", "HTTPS", "no L7 hint after the full first flight; port-based fallback", True)),
+    ((6, 80, False, "", "", "", "", "", "", False, False), ("HTTP", "HTTP", "port-based (still waiting for the first flight)", False)),
+    ((6, 80, False, "", "", "", "", "", "", True, True), ("HTTP", "HTTP", "no L7 hint after the full first flight; port-based fallback", True)),
+    ((6, 443, False, "www.example.org", "", "", "s", "h", "t13x", True, False), ("HTTPS", "Mine", "SNI 'www.example.org' matched signature [suffix example.org]", True)),
+    ((6, 443, False, "other.net", "", "", "s", "h", "t13x", True, False), ("YouTube", "YouTube", "JA3 h matched signature [ja3hash h]", True)),
+    ((6, 443, False, "other.net", "", "", "s", "x", "t13x", True, False), ("HTTPS", "Custom", "JA4 t13x matched signature [ja4prefix t13]", True)),
+    ((6, 443, False, "other.net", "", "", "s", "x", "q", True, True), ("HTTPS", "HTTPS", "SNI 'other.net' present but matched no signature", True)),
+    ((6, 443, False, "", "", "", "s", "x", "", True, False), ("HTTPS", "HTTPS", "TLS ClientHello, no SNI (ECH?) and no fingerprint match", True)),
+    ((6, 443, False, "q.net", "", "", "", "h", "", False, False), ("HTTPS", "HTTPS", "port-based (still waiting for the first flight)", False)),
+    ((6, 80, False, "", "www.example.org", "", "s", "h", "", True, True), ("HTTPS", "Mine", "HTTP Host 'www.example.org' matched signature [suffix example.org]", True)),
+    ((6, 80, False, "", "other.net", "", "s", "h", "t13x", False, False), ("HTTPS", "HTTP", "HTTP Host 'other.net' present but matched no signature", True)),
+    ((6, 8080, False, "www.example.org", "www.example.org", "", "s", "h", "t13x", True, True), ("Unknown", "", "no classifier applies (not 53/80/443 TCP/UDP)", False)),
+    ((17, 443, False, "www.example.org", "", "", "s", "h", "t13x", True, True), ("Unknown", "", "no classifier applies (not 53/80/443 TCP/UDP)", False)),
+]
+
+
+def test_verdicts(spark):
     own = signatures.parse("suffix example.org Mine\nja3hash h YouTube\nja4prefix t13 Custom")
-    facts = [classify.Facts(is_dns=True), classify.Facts(is_dns=True, dns_qname="a.b")]
-    for port in (443, 80, 8080):
-        for name in ("", "www.example.org", "other.net"):
-            for seen in (False, True):
-                for full in (False, True):
-                    facts += [classify.Facts(6, port, False, name, name, "", "s", "h" if port == 80 else "x", j4, seen, full) for j4 in ("", "t13x")]
-    facts.append(classify.Facts(6, 443, sni="q.net", ja3="h", clienthello_seen=True))
-    df = spark.createDataFrame([(k, *vars(f).values()) for k, f in enumerate(facts)], "k int, protocol int, dst_port int, is_dns boolean, sni string, http_host string, dns_qname string, ja3_string string, ja3 string, ja4 string, clienthello_seen boolean, first_flight_full boolean")
+    df = spark.createDataFrame([(k, *f) for k, (f, _) in enumerate(VERDICTS)], f"k int, {FACTS}")
     got = [(r.app, r.label, r.reason, r.decided) for r in classify.verdict(df, own).orderBy("k").collect()]
-    assert got == [(v.app, v.label, v.reason, v.decided) for v in (classify.verdict_of(f, own) for f in facts)]
+    assert got == [v for _, v in VERDICTS]
 
 
 def test_explain(spark, sample):
@@ -257,7 +272,7 @@ def test_captures(spark, tmp_path):
     assert [bytes(r.data) for r in back.orderBy("frame_no").collect()] == [bytes(r.data) for r in engine.forwarded(frames).orderBy("frame_no").collect()] and back.count() == 71
     swapped = pcap.struct.pack(">IHHiIII", pcap.MAGIC, 2, 4, 0, 0, 65535, 1) + pcap.struct.pack(">IIII", 5, 6, 3, 9) + b"abc"
     (tmp_path / "swapped").write_bytes(swapped)
-    assert tuple(spark.read.format("pcap").load(str(tmp_path / "swapped")).drop("source").first()) == (0, 5, 6, 3, 9, 1, b"abc")
+    assert tuple(spark.read.format("pcap").load(str(tmp_path / "swapped")).drop("source").first()) == (0, 5, 6, 3, 9, 1, b"abc", 5_000_006)
     for name, tail, why in (("cut", body[:-3], "truncated record"), ("head", body + b"1234", "truncated record header"), ("long", body + pcap.struct.pack("<IIII", 0, 0, 70000, 70000), "record too long")):
         (tmp_path / name).write_bytes(tail)
         got = spark.read.format("pcap").option("reasons", "true").load(str(tmp_path / name))
@@ -271,6 +286,85 @@ def test_captures(spark, tmp_path):
     assert Engine(spark).load_rules(str(tmp_path / "rules")).rules == engine.rules
 
 
+def _written(path, items, first=100, step=1):
+    path.write_bytes(pcap.header() + b"".join(pcap.record(first + step * k, 0, f) for k, f in enumerate(items)))
+
+
+def test_a_flow_over_several_captures(spark, tmp_path):
+    """The parts of a hello lie in two files, whose names are in the other order; blocked as from one file."""
+    engine = Engine(spark)
+    engine.block("app", "YouTube")
+    items = _split_hello("www.youtube.com", at=(30, 45)) + [syn.frame("10.0.0.1", "10.0.0.2", 50000, 443, b"more", seq=900 + k) for k in range(4)]
+    (tmp_path / "one").mkdir()
+    _written(tmp_path / "one" / "a.pcap", items)
+    (tmp_path / "two").mkdir()
+    _written(tmp_path / "two" / "b.pcap", items[:2], 100)
+    _written(tmp_path / "two" / "a.pcap", items[2:], 102)
+    (tmp_path / "dealt").mkdir()
+    for k in range(3):
+        _written(tmp_path / "dealt" / f"{2 - k}.pcap", items[k::3], 100 + k, 3)
+    seen = {}
+    for name in ("one", "two", "dealt"):
+        frames = engine.open(str(tmp_path / name))
+        seen[name] = [(r.ts_sec, r.app, r.sni, r.blocked) for r in engine.classify(frames).orderBy("ts_sec").collect()]
+        assert [r.ts_sec for r in engine.open(str(tmp_path / name), count=3).orderBy("ts_sec").collect()] == [100, 101, 102]
+        trace = engine.explain(frames).first()
+        assert (trace.app, trace.verdict, trace.first_flight.segments) == ("YouTube", "DROP", 3)
+        engine.write_forwarded(frames, str(tmp_path / f"{name}.out"))
+        back = spark.read.format("pcap").load(str(tmp_path / f"{name}.out")).orderBy("frame_no").collect()
+        assert [r.ts_sec for r in back] == [100, 101, 102]
+    assert seen["one"] == seen["two"] == seen["dealt"] and [b for *_, b in seen["one"]] == [False] * 3 + [True] * 5
+
+
+def test_a_capture_keeps_its_own_order(spark, tmp_path):
+    """Times that go back within a file do not move its frames."""
+    items = _split_hello("www.youtube.com", at=(30, 45))
+    path = tmp_path / "a.pcap"
+    path.write_bytes(pcap.header() + b"".join(pcap.record(t, 0, f) for t, f in zip((100, 50, 70, 101), items)))
+    rows = Engine(spark).open(str(path)).orderBy("arrived", "source", "frame_no").collect()
+    assert [r.frame_no for r in rows] == [0, 1, 2, 3] and [r.arrived for r in rows] == [100_000_000] * 3 + [101_000_000]
+
+
+def test_only_what_is_in_reach_is_moved(spark):
+    """Segments far beyond a flow's baseline and those without payload do not go to the flow's task; the result is the same."""
+    far = [syn.frame("10.0.0.1", "10.0.0.2", 50000, 443, b"z" * 100, syn.ACK, 200_000 + 100 * k) for k in range(50)]
+    bare = [syn.frame("10.0.0.1", "10.0.0.2", 50000, 443, b"", syn.ACK, 101 + k) for k in range(20)]
+    hello = _split_hello(at=(30, 45))
+    own = packets(spark, hello[:2] + far + bare + hello[2:])
+    assert classify._in_reach(own).count() == 4
+    assert classify.flow_decisions(own, signatures.builtin()).first().decided_at == len(far) + len(bare) + 3
+
+
+def test_arrivals_of_any_name(tmp_path):
+    items = syn.sample_frames()
+    (tmp_path / "in").mkdir()
+    for name in ("m", "z", "a"):
+        _written(tmp_path / "new", items[:2])
+        (tmp_path / "new").rename(tmp_path / "in" / f"{name}.pcap")
+    reader = pcap._Arrivals(str(tmp_path / "in"), False, 2)
+    at, taken = reader.initialOffset(), []
+    for _ in range(3):
+        end = reader.latestOffset()
+        taken.append([p.path[-6:] for p in reader.partitions(at, end)])
+        at = end
+    assert taken == [["m.pcap".rjust(6), "z.pcap".rjust(6)], ["a.pcap".rjust(6)], []]
+    again = pcap._Arrivals(str(tmp_path / "in"), False, 2)
+    assert [p.path[-6:] for p in again.partitions(reader.initialOffset(), at)] == ["m.pcap", "z.pcap", "a.pcap"]
+
+
+def test_rules_of_each_batch_and_late_packets(spark):
+    from flowlens.streaming import flows as streams
+
+    rows = [("1.1.1.1", 443, "YouTube", "youtube.com", 0), ("2.2.2.2", 80, "HTTP", None, 700), ("1.1.1.1", 53, "DNS", "a.b", 1000)]
+    batch = spark.createDataFrame(rows, "src_ip string, dst_port int, app string, sni string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    taken, texts = [], iter(("[BLOCKED_APPS]\nYouTube\n", "[BLOCKED_IPS]\n1.1.1.1\n"))
+    run = streams.with_rules_of_each_batch(lambda df, n: taken.append((n, sorted(r.dst_port for r in df.collect()))), lambda: policy.BlockRules().load_text(next(texts)))
+    run(batch, 0)
+    run(batch, 1)
+    assert taken == [(0, [53, 80]), (1, [80])]
+    assert [r.t for r in streams.late_packets(batch, "10 minutes").collect()] == [0]
+
+
 def test_stream_of_captures(spark, tmp_path):
     from flowlens.streaming import flows as streams
 
