@@ -57,8 +57,8 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-#: Whether a query's shuffle files go when it ends; partitions of a shuffle.
-_CLEANED, _SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffle.partitions"
+#: Whether a query's shuffle files go when it ends; partitions of a shuffle, and whether small ones are joined.
+_CLEANED, _SHUFFLED, _JOINED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
 
 
 #: Tables that are there, one list for each open scope; those of the first go when the driver's process ends.
@@ -89,18 +89,20 @@ def kept_until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, path: str | None = None, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, partitions: int | None = None, joined: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no earlier stage.
 
     The table goes with the scope it is written in, or when the driver's process ends, unless dropped() comes first.
-    With `partitions`, shuffles on the way have as many, before adaptive execution joins small ones.
+    With `partitions`, shuffles on the way have as many, before adaptive execution joins small ones (unless not `joined`).
     """
     spark = df.sparkSession
     path = path or kept_until_exit(spark, new_path(spark, name))
     settings = {_CLEANED: "true"}  # what the table is made from is not needed again
     if partitions:
         settings[_SHUFFLED] = str(partitions)
-    usual = {key: spark.conf.get(key, "false") for key in settings}
+    if not joined:
+        settings[_JOINED] = "false"
+    usual = {key: spark.conf.get(key, str(key == _JOINED).lower()) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:

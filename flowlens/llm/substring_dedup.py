@@ -10,7 +10,8 @@ snippets of these go to the buckets, once for each block of documents that has t
 There the snippets of each block are a shard with a Burrows-Wheeler transform of its own; merging these by interleave
 refinement gives the intervals of windows with a common prefix of WINDOW bytes, and the smallest identifier in each goes
 back to the blocks. An anchor that more than HOT documents have would fill one task: its windows are not sent to a
-bucket but meet one by one, as keys of an aggregate, so they spread over all tasks.
+bucket but meet one by one, as keys of an aggregate, so they spread over all tasks. What a block sends is grouped by
+bucket, so rows never number more than the anchors sent, and grow with the text however many blocks and buckets there are.
 
 Defined cases: a null text is empty; matches are of bytes and may start within a character; rows with one identifier
 are no earlier than each other, and rows with one identifier and text are treated alike; a null identifier counts as
@@ -21,6 +22,7 @@ are never read, or travel unchanged.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,10 @@ WINDOW = 50
 GRAM = 24
 #: Windows of a snippet at most.
 SNIPPET = 64
-#: Documents with an anchor beyond which its windows meet one by one.
-HOT = 1 << 13
+#: Documents with an anchor beyond which its windows meet one by one, and windows in one row on the way there.
+HOT, HOT_WINDOWS = 1 << 13, 1 << 16
 #: Bytes of text for a block, and of text whose anchors, or snippets, share a bucket.
-BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 64 << 20, 16 << 20, 4 << 20
+BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 8 << 20, 16 << 20, 1 << 19
 #: Bytes of snippets that are merged at once; snippets of one anchor stay together.
 MERGED = 1 << 19
 #: Bytes of text whose anchors are worked out at once.
@@ -163,8 +165,7 @@ class Block:
         table = table.take(pa.array(order))
         self.ids, self.shas, self.texts = table["id"].to_numpy(), table["sha"].to_pylist(), table["text"].to_pylist()
         self.numbers: dict[bytes, int] = {}
-        self.anchors: list[int] = []
-        self.least: list[int] = []
+        self.anchors, self.least = array("Q"), array("q")
         #: of each occurrence: text, start in it, windows, number
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for a, joined, starts, sizes, own, text in snippets(self.texts):
@@ -198,7 +199,10 @@ def _known_block(docs: pa.Table, answers: pa.Table) -> tuple[Block | None, np.nd
 
 def _sent_snippets(buckets: int):
     def send(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """For each bucket, a block's snippets: bytes, lengths, anchors, smallest identifiers, numbers."""
+        """For each bucket, a block's snippets: bytes, lengths, anchors, smallest identifiers, numbers.
+
+        Without a bucket, the distinct windows of snippets with hot anchors: joined bytes and smallest identifiers.
+        """
         names = ["bucket", "block", "bytes", "lengths", "anchors", "least", "numbers"]
         block, hot = _known_block(docs, answers)
         rows = []
@@ -212,40 +216,51 @@ def _sent_snippets(buckets: int):
                 at = order[cuts[k] : cuts[k + 1]]
                 parts = [strings[i] for i in at.tolist()]
                 rows.append((k, key[0].as_py(), b"".join(parts), np.fromiter(map(len, parts), np.int32, len(parts)).tobytes(), own[at].tobytes(), least[at].tobytes(), at.astype(np.int32).tobytes()))
+            windows = _least_here(block, np.flatnonzero(hot).tolist())
+            listed = list(windows)
+            for k in range(0, len(listed), HOT_WINDOWS):
+                part = listed[k : k + HOT_WINDOWS]
+                rows.append((None, key[0].as_py(), b"".join(part), b"", b"", np.array([windows[w] for w in part], np.int64).tobytes(), b""))
         columns = list(zip(*rows)) or [[]] * len(names)
         return pa.table([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(columns)], names=names)
 
     return send
 
 
-_HOT_WINDOWS = pa.schema([("block", pa.int32()), ("number", pa.int32()), ("offset", pa.int32()), ("least", pa.int64()), ("window", pa.binary())])
+def _windows(string: bytes) -> list[bytes]:
+    return [string[j : j + WINDOW] for j in range(len(string) - WINDOW + 1)]
+
+
+def _least_here(block: Block, numbers: list[int]) -> dict[bytes, int]:
+    """The windows of some of a block's snippets, each with the smallest identifier in the block."""
+    strings, out = list(block.numbers), {}
+    for i in numbers:
+        for w in _windows(strings[i]):
+            out[w] = min(out.get(w, shared.LAST_ID), block.least[i])
+    return out
 
 
-def _hot_windows(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """A row for each window of a block's snippets with hot anchors."""
-    block, hot = _known_block(docs, answers)
-    if block is None or not hot.any():
-        return _HOT_WINDOWS.empty_table()
-    strings, own = list(block.numbers), np.flatnonzero(hot)
-    sizes = np.array([len(strings[i]) - WINDOW + 1 for i in own.tolist()])
-    offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    windows = [strings[i][j : j + WINDOW] for i, n in zip(own.tolist(), sizes.tolist()) for j in range(n)]
-    least = np.array(block.least, np.int64)[own]
-    return pa.table([pa.array(np.full(len(windows), key[0].as_py(), np.int32)), pa.array(np.repeat(own, sizes).astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(np.repeat(least, sizes)), pa.array(windows, pa.binary())], schema=_HOT_WINDOWS)
+def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, least, window) for each window of the rows without a bucket."""
+    for batch in batches:
+        for block, raw, least in zip(*(batch.column(c).to_pylist() for c in ("block", "bytes", "least"))):
+            n = len(raw) // WINDOW
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.array(np.frombuffer(least, np.int64)), pa.array([raw[k * WINDOW : (k + 1) * WINDOW] for k in range(n)], pa.binary())], names=["block", "least", "window"])
 
 
 def _packed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with a smaller identifier as a row for each block, as _merged tells them."""
+    """A row for each block: its windows that are elsewhere with a smaller identifier, and these."""
     for batch in batches:
         blocks = batch.column("block").to_numpy()
         for b in np.unique(blocks).tolist():
             own = batch.filter(pa.array(blocks == b))
-            raw = [own.column(c).to_numpy().tobytes() for c in ("number", "offset", "low")]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (b"", b"", b"", *raw)]], names=_TOLD)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b"".join(own.column("window").to_pylist())], pa.binary()), pa.array([own.column("low").to_numpy().tobytes()], pa.binary())], names=["block", "h_windows", "h_least"])
 
 
 _TOLD = ["block", "anchors", "numbers", "least", "w_number", "w_offset", "w_least"]
 _TOLD_DDL = "block int, anchors binary, numbers binary, least binary, w_number binary, w_offset binary, w_least binary"
+#: What blocks are told besides of hot anchors: these, and of their windows.
+_HOT_TOLD = ["hot", "h_windows", "h_least"]
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -299,7 +314,7 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist()] or [np.zeros(0, kind)])
+    return np.concatenate([np.frombuffer(x, kind) for x in table[column].to_pylist() if x is not None] or [np.zeros(0, kind)])
 
 
 def _rest(text: bytes, covered: np.ndarray, whole_characters: bool) -> bytes:
@@ -318,12 +333,21 @@ def _removed(with_bytes: bool):
         if not len(docs):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         shared.release_memory()
-        anchors = _joined(answers, "anchors", np.uint64)
-        block = Block(docs, np.unique(anchors))
+        hot = np.unique(_joined(answers, "hot", np.uint64))
+        block = Block(docs, np.union1d(_joined(answers, "anchors", np.uint64), hot))
         least = np.array(block.least, np.int64)
         numbers = _joined(answers, "numbers", np.int32)
         least[numbers] = _joined(answers, "least", np.int64)
         w_number, w_offset, w_least = (_joined(answers, c, k) for c, k in (("w_number", np.int32), ("w_offset", np.int32), ("w_least", np.int64)))
+        if len(hot):
+            own = np.flatnonzero(np.isin(np.array(block.anchors, np.uint64), hot)).tolist()
+            low, raw = _least_here(block, own), b"".join(x for x in answers["h_windows"].to_pylist() if x)
+            low.update(zip((raw[k : k + WINDOW] for k in range(0, len(raw), WINDOW)), _joined(answers, "h_least", np.int64).tolist()))
+            strings = list(block.numbers)
+            found = [(i, j, low[w]) for i in own for j, w in enumerate(_windows(strings[i])) if low[w] < block.least[i]]
+            if found:
+                extra = list(zip(*found))
+                w_number, w_offset, w_least = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip((w_number, w_offset, w_least), extra))
         order = np.argsort(w_number, kind="stable")
         w_number, w_offset, w_least = w_number[order], w_offset[order], w_least[order]
         marks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -369,7 +393,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
     distinct = rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("id", "text")).alias("r"))
     blocks = shared.partitions_for(spark, shared.planned_bytes(docs), BLOCK_BYTES)
     # a task's documents are a block
-    base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts", partitions=blocks)
+    base = shared.written(distinct.select("sha", "r.id", "r.text", F.spark_partition_id().alias("block")), "texts", partitions=blocks, joined=False)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sent = base.select("block", "text").mapInArrow(_anchors(shared.partitions_for(spark, total, ANCHOR_BYTES)), "bucket int, block int, anchors binary, docs binary")
     common = shared.written(sent.groupBy("bucket").applyInArrow(_shared_anchors(HOT), "block int, anchors binary, hot binary"), "anchors", partitions=blocks)
@@ -378,16 +402,19 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
     buckets = shared.partitions_for(spark, volume * 14 // 8, SNIPPET_BYTES)
     both = base.groupBy("block").cogroup(common.groupBy("block"))
     pieces = both.applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")
-    tables = [base, common, shared.written(pieces.groupBy("bucket").applyInArrow(_merged, _TOLD_DDL), "intervals", partitions=blocks)]
-    told = tables[-1]
+    pieces = shared.written(pieces, "pieces", partitions=blocks)
+    merged = pieces.filter("bucket is not null").groupBy("bucket").applyInArrow(_merged, _TOLD_DDL)
+    told = shared.written(merged, "intervals", partitions=max(blocks, buckets))
+    tables = [base, common, pieces, told]
     hot = common.filter(F.octet_length("hot") > 0)
-    if not hot.isEmpty():
-        windows = shared.written(both.applyInArrow(_hot_windows, "block int, number int, offset int, least long, window binary"), "windows", partitions=blocks)
+    if hot.isEmpty():
+        told = told.withColumns({c: F.lit(None).cast("binary") for c in _HOT_TOLD})
+    else:
+        windows = pieces.filter("bucket is null").select("block", "bytes", "least").mapInArrow(_each_window, "block int, least long, window binary")
         low = windows.groupBy("window").agg(F.min("least").alias("low"))
-        later = windows.join(low, "window").filter("low < least").select("block", "number", "offset", "low")
-        tables += [windows, shared.written(later.mapInArrow(_packed_windows, _TOLD_DDL), "hot", partitions=blocks)]
-        nothing = [F.lit(b"").alias(c) for c in _TOLD[2:]]
-        told = told.unionByName(tables[-1]).unionByName(hot.select("block", F.col("hot").alias("anchors"), *nothing))
+        later = windows.join(low, "window").filter("low < least").select("block", "window", "low")
+        tables.append(shared.written(later.mapInArrow(_packed_windows, "block int, h_windows binary, h_least binary"), "hot", partitions=blocks))
+        told = told.unionByName(tables[-1], allowMissingColumns=True).unionByName(hot.select("block", "hot"), allowMissingColumns=True)
     kept = "kept binary" if with_bytes else "kept string"
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_removed(with_bytes), f"sha string, least long, n_bytes long, n_removed long, n_spans long, {kept}")
     out = shared.written(out, "passages", partitions=blocks)
