@@ -33,7 +33,7 @@ from . import shared
 from .tokens import encoder
 
 #: Texts that are encoded together.
-TEXTS = 256
+TEXTS = 1024
 #: Rows that a task sweeps.
 ROWS = 1 << 19
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"

@@ -28,7 +28,7 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
 #: Texts that are encoded together.
-TEXTS = 256
+TEXTS = 1024
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = "part int, path string, n_docs long, n_tokens long"
 

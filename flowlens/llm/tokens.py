@@ -2,7 +2,8 @@
 
 Both public vocabularies treat words apart: the byte-level one never joins a space with what stands before it, the
 other drops white space. So a text's ids are the ids of its parts, cut where a space precedes other characters. The
-parts' ids are kept in a bounded store of the Python worker, and parts not yet in it are encoded many at a time.
+parts' ids are kept in a bounded store of the Python worker, and parts not yet in it are encoded many at a time. Texts
+are cut, and their parts told apart, as Arrow columns; Python sees each distinct part of a batch once.
 
 A text that holds the string of an added token (such as an end mark) is given to the library whole, which makes that
 string one id. With `added_as_text` such strings are ordinary text.
@@ -15,11 +16,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import slices
 
 #: Parts that a worker remembers; beyond that it starts anew.
 MOST_PARTS = 1_500_000
 #: Parts that are encoded as one string.
 _JOINED = 500
+#: Bytes of text that are cut at once.
+_CHUNK = 1 << 22
 #: Marks that often end a part.
 _MARKS = (",", ".")
 _ODD_SPACE = re.compile(r" (?=\s)| \Z")
@@ -66,6 +73,8 @@ class WordEncoder:
         self.ends = np.array([x.endswith("</w>") for x in names])
         self.lengths = np.array([len(x) for x in names])
         self.parts: dict[str, bytes] = {}
+        #: Where spaces belong to the part behind them: ids of parts that begin a text.
+        self.first: dict[str, bytes] = {}
         self.tails = {x: self._alone(x) for x in _MARKS}
 
     def _alone(self, text: str) -> bytes:
@@ -144,18 +153,60 @@ class WordEncoder:
     def _by_parts(self, texts: list[str]) -> list[bytes]:
         if self.marks_ends:  # that vocabulary folds case itself; where folding is plain, do it before parts are told apart
             texts = [x.lower() if _plain(x) else x for x in texts]
-        split = [_CUT.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
-        seen: set[str] = set()
-        for parts in split:
-            seen.update(parts if self.marks_ends else parts[1:])
-        if missing := list(seen - self.parts.keys()):
-            self._learn(missing)
-            if gone := [x for x in seen if x not in self.parts]:  # it was cleared
-                self._learn(gone)
-        get = self.parts.__getitem__
+        out: list[bytes] = []
+        for a, b in slices([len(x) for x in texts], _CHUNK):
+            out += self._chunk(texts[a:b])
+        return out
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        odd = {k: _CUT.split(x) for k, x in enumerate(texts) if _ODD_SPACE.search(x)}
+        if odd:
+            cut = iter(pc.split_pattern(pa.array([x for k, x in enumerate(texts) if k not in odd], pa.large_string()), " ").to_pylist())
+            lists = pa.array([odd[k] if k in odd else next(cut) for k in range(len(texts))], pa.large_list(pa.large_string()))
+        else:
+            lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = np.asarray(lists.offsets)
+        ends = ends - ends[0]
+        coded = lists.flatten().dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = ends[:-1]
+        found = self._known(names if self.marks_ends else [names[k] for k in np.unique(np.delete(at, heads)).tolist()])
         if self.marks_ends:
-            return [b"".join(map(get, parts)) for parts in split]
-        return [self._alone(parts[0]) + b"".join(map(get, parts[1:])) if parts[0] else b"".join(map(get, parts[1:])) for parts in split]
+            table = [found[x] for x in names]
+        else:
+            table = [found.get(x, b"") for x in names]
+            begins = [names[k] for k in at[heads].tolist()]
+            begin = {x: len(names) + k for k, x in enumerate(dict.fromkeys(begins))}
+            table += [self._first(x) for x in begin]
+            at = at.copy()
+            at[heads] = [begin[x] for x in begins]
+        sizes = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        ids, places = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        n = sizes[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        from_ = np.repeat(places[at] - total[:-1].astype(np.int32), n)
+        from_ += np.arange(total[-1], dtype=np.int32)
+        raw = ids[from_].tobytes()
+        bounds = (total[ends] * 4).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _known(self, parts: list[str]) -> dict[str, bytes]:
+        """Parts with their ids."""
+        get = self.parts.get
+        found = {x: get(x) for x in parts}
+        if missing := [x for x, ids in found.items() if ids is None]:
+            self._learn(missing)
+            found.update((x, self.parts[x]) for x in missing)
+        return found
+
+    def _first(self, part: str) -> bytes:
+        if not part:
+            return b""
+        if part not in self.first:
+            if len(self.first) >= MOST_PARTS // 10:
+                self.first.clear()
+            self.first[part] = self._alone(part)
+        return self.first[part]
 
 
 #: In ASCII, the words that the marked vocabulary's splitter finds.
