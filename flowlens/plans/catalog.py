@@ -327,8 +327,8 @@ def _flight_sql(max_bytes: int, max_segments: int) -> str:
     """What the caps leave of a conversation whose turns arrive last first: nothing if the first turn comes too late."""
     return f"""
     WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
-    p AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - strlen(text) AS at FROM t),
-    n AS (SELECT conv_id, count(*) FILTER (WHERE strlen(text) > 0 AND at < {max_bytes}) AS segments, substr(hex(encode(string_agg(text, '' ORDER BY turn))), 1, {2 * max_bytes}) AS taken FROM p GROUP BY conv_id)
+    p AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - strlen(text) AS place FROM t),
+    n AS (SELECT conv_id, count(*) FILTER (WHERE strlen(text) > 0 AND place < {max_bytes}) AS segments, substr(hex(encode(string_agg(text, '' ORDER BY turn))), 1, {2 * max_bytes}) AS taken FROM p GROUP BY conv_id)
     SELECT CAST(conv_id AS VARCHAR) AS flow_id, CASE WHEN segments > {max_segments} THEN md5('') ELSE md5(unhex(taken)) END AS digest FROM n"""
 
 
@@ -444,10 +444,10 @@ _CUT = f"""{tables.EVENTS_SQL.strip()}, cut AS (SELECT *, CASE event_id % 4 WHEN
     seen AS (SELECT *, n >= 34 AS has_ip, CASE protocol WHEN 6 THEN 54 ELSE 42 END AS need FROM cut)"""
 
 
-@query(f"WITH {_CUT} SELECT event_id AS frame_no, CAST(n AS BIGINT) AS frame_bytes, has_ip, n >= need AS parse_ok, CASE WHEN n >= need THEN CAST(n - need AS BIGINT) END AS payload_length, CASE WHEN n >= need THEN dst_port END AS dst_port FROM seen")
+@query(f"WITH {_CUT} SELECT event_id AS frame_no, CAST(n AS BIGINT) AS frame_bytes, has_ip, n >= need AS parse_ok, CASE WHEN n >= need THEN CAST(n - need AS BIGINT) ELSE -1 END AS payload_length, CASE WHEN n >= need THEN dst_port ELSE -1 END AS dst_port FROM seen")
 def malformed_frames(spark, sf_dir):
     """What can be decoded of frames, every fourth of which is cut short."""
-    return _cut_frames(spark, sf_dir).select("frame_no", "has_ip", "parse_ok", *[F.col(c).cast("long").alias(c) for c in ("frame_bytes", "payload_length")], "dst_port")
+    return _cut_frames(spark, sf_dir).select("frame_no", "has_ip", "parse_ok", F.col("frame_bytes").cast("long").alias("frame_bytes"), F.coalesce("payload_length", F.lit(-1)).cast("long").alias("payload_length"), F.coalesce("dst_port", F.lit(-1)).alias("dst_port"))
 
 
 @query(f"WITH {_CUT} SELECT count(*) AS frames, CAST(sum(n) AS BIGINT) AS frame_bytes, count(*) FILTER (WHERE n < need) AS parse_errors, count(*) FILTER (WHERE n >= need) AS packets, count(*) FILTER (WHERE n >= need AND protocol = 6) AS tcp_packets, count(*) FILTER (WHERE n >= need AND protocol = 17) AS udp_packets FROM seen")
