@@ -39,7 +39,7 @@ SAMPLE, LEAST = 40_000, 8
 #: Distance of a split within which a vector goes both ways, times the root of the dimension.
 SPILL = 0.16
 #: Vectors of a leaf that one task compares with each other.
-BLOCK = 4096
+BLOCK = 1024
 SEED = 20
 
 

@@ -219,6 +219,28 @@ def test_vectors(spark, monkeypatch, block):
     assert sum(k[1] * m for k, m in got.items()) >= 0.97 * 2 * len(links)
 
 
+@pytest.mark.parametrize("dim", [16, 64, 128, 384])
+def test_recall_and_copies_in_any_dimension(dim):
+    """Pairs just at the least similarity meet in a leaf of some tree; a vector is in few leaves."""
+    rng = np.random.default_rng(dim)
+    n = 20_000
+    unit = rng.standard_normal((n, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    away = rng.standard_normal((n // 2, dim))
+    away -= (away * unit[::2]).sum(axis=1, keepdims=True) * unit[::2]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    unit[1::2] = 0.935 * unit[::2] + np.sqrt(1 - 0.935**2) * away
+    levels = vector_dedup.levels_for(n)
+    met, copies = np.zeros(n // 2, bool), 0
+    for t in range(vector_dedup.TREES):
+        rows, leaves = vector_dedup.Tree(unit, levels, t).leaves(unit, np.full(n, levels))
+        copies += len(rows) / n
+        first = set(zip((rows[rows % 2 == 0] // 2).tolist(), leaves[rows % 2 == 0].tolist()))
+        for r, leaf in zip((rows[rows % 2 == 1] // 2).tolist(), leaves[rows % 2 == 1].tolist()):
+            met[r] |= (r, leaf) in first
+    assert met.mean() >= 0.97 and copies <= 40
+
+
 def test_no_vectors(spark):
     empty = cases.frame(spark, [], "vec_id long, embedding array<double>, label int")
     assert vector_dedup.vector_components(empty).count() == 0

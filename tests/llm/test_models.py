@@ -50,6 +50,24 @@ def test_language_without_labels(spark):
     assert language.learned_and_identified(cases.frame(spark, [])).count() == 0
 
 
+def test_many_languages_and_sets_of_four():
+    """Rare languages count like others, and a document may have more than three."""
+    rng = random.Random(11)
+    speak = lambda k: " ".join("".join(rng.choices([f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{x}" for x in "klmnrst"], k=2)) for _ in range(40))
+    n = 300
+    counts = np.full((n, language.BUCKETS), language.SMOOTHING)
+    for k in range(n):
+        words = language.Words([speak(k).encode() for _ in range(20)])
+        counts[k] += np.bincount(language._trigrams(words)[0], minlength=language.BUCKETS)
+    model = language.Model([f"l{k}" for k in range(n)], np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T, np.float32))
+    names, scores = model.predict([speak(k).encode() for k in range(n)])
+    assert names == [f"l{k}" for k in range(n)]
+    four = [k for k in (3, 50, 120, 290)]
+    text = " ".join([speak(3), *(speak(k) for k in four)]).encode()
+    name, score = model.predict([text])
+    assert name == ["l3"] and 0.3 < score[0] < 0.5
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -75,6 +93,22 @@ def test_toxicity_needs_pairs_of_terms(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) >= 0.98
 
 
+def test_terms_that_count_in_company_only(spark):
+    """Each of many group words is too rare among all documents; beside an insult it decides."""
+    rng = random.Random(4)
+    groups = [f"group{k}folk" for k in range(12)]
+    rows, labels = [], []
+    for k in range(5000):
+        words = rng.choices(cases.WORDS, k=12)
+        insult, group = rng.random() < 0.12, rng.random() < 0.3
+        words += ["blockhead"] * insult + [rng.choice(groups)] * group
+        rows.append((k, " ".join(words), None, None, 0))
+        labels.append((k, 1, int(insult and group)))
+    got = {r.doc_id: r.predicted for r in toxicity.learned_and_scored(cases.frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [(k, t) for k, _, t in labels if _out(k)]
+    assert np.mean([got[k] for k, t in held if t]) >= 0.8 and np.mean([got[k] for k, t in held if not t]) <= 0.03
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (3, 1, 0)], [(1, None, None)]])
 def test_toxicity_without_labels_of_both_kinds(spark, labels):
     docs = cases.frame(spark, [(1, "alpha", None, None, 0), (3, None, None, None, 0)])

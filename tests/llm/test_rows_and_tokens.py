@@ -51,7 +51,7 @@ def test_exact_dedup_keeps_columns_and_first_rows(spark):
 
 
 def _shards(spark, rows, shards):
-    docs = cases.with_clashes(cases.frame(spark, rows)).drop("size", "shard")
+    docs = cases.with_clashes(cases.frame(spark, rows))
     out = sharding.balanced_shards(docs, shards).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
     slots = defaultdict(list)
@@ -77,6 +77,22 @@ def test_shards_split_one_large_group(spark):
     assert max(sizes) - min(sizes) <= 60
 
 
+def test_columns_of_any_name_travel_along(spark):
+    from pyspark.sql import functions as F
+
+    docs = cases.frame(spark, [(k, f"t {k}", None, None, 0) for k in range(40)])
+    docs = docs.withColumns({c: F.col("doc_id") * 2 for c in ("hash", "id", "range", "__id", "__h", "at", "key", "sha")})
+    for out in (sharding.balanced_shards(docs, 3), exact_dedup.exact_dedup(docs)):
+        assert [c for c in out.columns if c not in ("size", "slot", "shard")] == docs.columns
+        assert all(r["hash"] == r["id"] == r["range"] == r["__id"] == r["key"] == r["sha"] == 2 * r["doc_id"] for r in out.collect())
+
+
+def test_one_of_repeated_rows_stays_whatever_the_order(spark):
+    rows = [(1, "a  b", lang, "s", 0) for lang in ("x", "y", "z")] + [(1, "a b", "w", "s", 0), (2, "a b", "v", "s", 0), (None, "q", "u", "s", 0), (None, "q", "t", "s", 0)]
+    kept = [sorted(((r.doc_id, r.lang) for r in exact_dedup.exact_dedup(cases.frame(spark, own)).collect()), key=str) for own in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and [k[0] for k in kept[0]] == [1, None]
+
+
 def test_shards_of_awkward_rows(spark):
     _shards(spark, cases.awkward(), 5)
     assert sharding.balanced_shards(cases.frame(spark, []), 4).count() == 0
