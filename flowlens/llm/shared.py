@@ -106,7 +106,7 @@ def written(df: DataFrame, name: str, path: str | None = None, partitions: int |
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for key, value in usual.items():
             spark.conf.set(key, value)

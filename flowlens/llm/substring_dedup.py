@@ -402,9 +402,9 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
     buckets = shared.partitions_for(spark, volume * 14 // 8, SNIPPET_BYTES)
     both = base.groupBy("block").cogroup(common.groupBy("block"))
     pieces = both.applyInArrow(_sent_snippets(buckets), "bucket int, block int, bytes binary, lengths binary, anchors binary, least binary, numbers binary")
-    pieces = shared.written(pieces, "pieces", partitions=blocks)
+    pieces = shared.written(pieces, "pieces", partitions=blocks, joined=False)
     merged = pieces.filter("bucket is not null").groupBy("bucket").applyInArrow(_merged, _TOLD_DDL)
-    told = shared.written(merged, "intervals", partitions=max(blocks, buckets))
+    told = shared.written(merged, "intervals", partitions=max(blocks, buckets), joined=False)
     tables = [base, common, pieces, told]
     hot = common.filter(F.octet_length("hot") > 0)
     if hot.isEmpty():
@@ -417,7 +417,7 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, with_bytes: bool) ->
         told = told.unionByName(tables[-1], allowMissingColumns=True).unionByName(hot.select("block", "hot"), allowMissingColumns=True)
     kept = "kept binary" if with_bytes else "kept string"
     out = base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_removed(with_bytes), f"sha string, least long, n_bytes long, n_removed long, n_spans long, {kept}")
-    out = shared.written(out, "passages", partitions=blocks)
+    out = shared.written(out, "passages", partitions=blocks, joined=False)
     shared.dropped(*tables)
     return out
 
