@@ -41,6 +41,16 @@ class Engine:
     def unblock(self, kind: str, value: str | int) -> bool:
         return self.rules.unblock(kind, value)
 
+    def listed(self, kind: str) -> list:
+        """The rules of a kind, in the order they were added."""
+        return list(getattr(self.rules, kind))
+
+    def clear_rules(self) -> None:
+        self.rules.clear()
+
+    def rule_counts(self) -> dict[str, int]:
+        return self.rules.stats()
+
     def open(self, path: str, count: int | None = None) -> DataFrame:
         """Decoded frames of captures; count keeps the first frames past the transport gate, in order of arrival."""
         frames = decode(self.spark.read.format("pcap").load(path))

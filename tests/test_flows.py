@@ -283,7 +283,10 @@ def test_captures(spark, tmp_path):
     with pytest.raises(Exception, match="no capture"):
         spark.read.format("pcap").load(str(tmp_path / "missing")).count()
     engine.save_rules(str(tmp_path / "rules"))
-    assert Engine(spark).load_rules(str(tmp_path / "rules")).rules == engine.rules
+    again = Engine(spark).load_rules(str(tmp_path / "rules"))
+    assert again.rules == engine.rules and again.listed("app") == ["YouTube"] and again.rule_counts()["ip"] == 1
+    again.clear_rules()
+    assert again.listed("app") == []
 
 
 def _written(path, items, first=100, step=1):
