@@ -41,7 +41,7 @@ SNIPPET = 64
 #: Documents with an anchor beyond which its windows meet one by one, and windows in one row on the way there.
 HOT, HOT_WINDOWS = 1 << 13, 1 << 16
 #: Bytes of text for a block, and of text whose anchors, or snippets, share a bucket.
-BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 8 << 20, 16 << 20, 1 << 19
+BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 8 << 20, 4 << 20, 1 << 19
 #: Bytes of snippets that are merged at once; snippets of one anchor stay together.
 MERGED = 1 << 19
 #: Bytes of text whose anchors are worked out at once.
@@ -143,6 +143,7 @@ def _anchors(buckets: int):
 def _shared_anchors(hot: int):
     def find(table: pa.Table) -> pa.Table:
         """Of a bucket's anchors, for each block those that are in two documents, apart those in more than `hot`."""
+        shared.release_memory()
         sent = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
         _, at = np.unique(np.concatenate(sent), return_inverse=True)
         docs = np.bincount(at, _joined(table, "docs", np.int32))[at]
