@@ -91,8 +91,12 @@ def levels_for(n: int) -> int:
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -124,64 +128,79 @@ def _walker(trees: list[Tree]):
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (label, leaf, x, y): for each class what it links with, and a forest of the links."""
     held: list[pa.RecordBatch] = []
-    kind = None
     for batch in batches:
-        for row_key, piece in _groups(batch):
-            if kind is not None and row_key != kind:
-                yield from _links(pa.Table.from_batches(held))
-                held = []
-            kind = row_key
-            held.append(piece)
-    if held:
-        yield from _links(pa.Table.from_batches(held))
-
-
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    if not batch.num_rows:
-        return
-    keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "dim", "leaf", "x", "y")]
+        if not batch.num_rows:
+            continue
+        batch = pa.concat_batches([*held, batch])
+        heads = _heads(batch)
+        yield from _links(batch.slice(0, heads[-2]), heads[:-1])
+        held = [batch.slice(heads[-2])]  # the last group may go on
+    for batch in held:
+        yield from _links(batch, [0, batch.num_rows])
+
+
+def _heads(batch: pa.RecordBatch) -> list[int]:
+    """Where each group of rows begins, and the number of rows."""
     new = np.zeros(batch.num_rows, bool)
     new[0] = True
-    for k in keys:
+    for c in ("label", "dim", "leaf", "x", "y"):
+        k = batch.column(c).to_numpy(zero_copy_only=False)
         new[1:] |= k[1:] != k[:-1]
-    heads = [*np.flatnonzero(new).tolist(), batch.num_rows]
-    for a, b in zip(heads, heads[1:]):
-        yield tuple(k[a] for k in keys), batch.slice(a, b - a)
+    return [*np.flatnonzero(new).tolist(), batch.num_rows]
 
 
-def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    if len(table) < 2:
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each list begins and ends among them."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def _shared_bits(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For lists of distinct values, words of bits: two lists have a value in common if the AND of any of their words is not 0."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    _, at, times = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+    common = times > 1
+    number, own = np.cumsum(common) - 1, common[at]
+    bit, row = number[at[own]], row[own]
+    bits = np.zeros((-(-int(common.sum()) // 64), len(ends) - 1), np.uint64)
+    np.bitwise_or.at(bits, (bit // 64, row), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return bits
+
+
+def _links(batch: pa.RecordBatch, heads: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of groups of rows, each from one head to the next."""
+    if not batch.num_rows:
         return
-    table = table.combine_chunks()
-    unit = _unit(table.column("v").chunk(0))
-    ids, weights, blocks = (table.column(c).to_numpy() for c in ("node", "n", "block"))
-    x, y, leaf = (table.column(c)[0].as_py() for c in ("x", "y", "leaf"))
-    lists = table.column("leaves").chunk(0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    width = int(sizes.max())
-    padded = np.full((len(ids), width), -1, np.int64)
-    padded[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy()
-    n_linked = np.zeros(len(ids), np.int64)
+    ids, weights, blocks, x, y = (batch.column(c).to_numpy() for c in ("node", "n", "block", "x", "y"))
+    flat, at = _lists(batch.column("v"))
+    earlier, ends = _lists(batch.column("earlier"))
+    n_linked = np.zeros(batch.num_rows, np.int64)
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(ids), 512):
-        near = unit[a : a + 512] @ unit[a:].T >= COSINE
-        i, j = np.nonzero(near)
-        i, j = i + a, j + a
-        ok = (j > i) & ((blocks[i] != blocks[j]) if x != y else True)
-        i, j = i[ok], j[ok]
-        for b in range(0, len(i), 1 << 17):
-            p, q = i[b : b + (1 << 17)], j[b : b + (1 << 17)]
-            first = np.full(len(p), np.iinfo(np.int64).max)
-            for k in range(width):
-                own = padded[p, k]
-                common = (own[:, None] == padded[q]).any(axis=1) & (own >= 0)
-                first = np.minimum(first, np.where(common, own, first))
-            mine = first == leaf
-            p, q = p[mine], q[mine]
-            if len(p):
-                np.add.at(n_linked, p, weights[q])
-                np.add.at(n_linked, q, weights[p])
-                edges.append(forest(ids[p], ids[q]))
+    for head, end in zip(heads, heads[1:]):
+        if end - head < 2:
+            continue
+        unit = _scaled(flat[at[head] : at[end]].reshape(end - head, -1))
+        bits = None
+        for a in range(0, len(unit), 512):
+            near = unit[a : a + 512] @ unit[a:].T >= COSINE
+            if np.count_nonzero(near) <= len(near):
+                continue  # each row with itself
+            i, j = np.nonzero(near)
+            ok = j > i
+            i, j = i[ok] + head + a, j[ok] + head + a
+            if x[head] != y[head]:
+                ok = blocks[i] != blocks[j]
+                i, j = i[ok], j[ok]
+            if bits is None:
+                bits = _shared_bits(earlier, ends[head : end + 1])
+            counted = np.zeros(len(i), bool)  # in an earlier leaf
+            for word in bits:
+                counted |= word[i - head] & word[j - head] != 0
+            i, j = i[~counted], j[~counted]
+            if len(i):
+                np.add.at(n_linked, i, weights[j])
+                np.add.at(n_linked, j, weights[i])
+                edges.append(forest(ids[i], ids[j]))
     own = np.flatnonzero(n_linked)
     if len(own):
         yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.array(n_linked[own])], names=["a", "b", "w"])
@@ -201,7 +220,10 @@ def _fitted(classes: DataFrame, dim: int, n: int, most: int) -> list[Tree]:
 
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: its identifier, n_links, component_id and kept."""
-    v = F.col(vector_col).cast("array<double>")
+    # single precision stays as it is until vectors are compared: it is half as much to move
+    v = F.col(vector_col)
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     usable = F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(shared.id_or_last(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
     classes = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -215,7 +237,7 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     for r in sizes.groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect():
         trees = _fitted(classes, r["dim"], r["n"], r["most"])
         own = sized.filter(F.col("dim") == r["dim"]).select("label", "dim", "node", "n", "v", "depth")
-        walked = own.mapInArrow(_walker(trees), "label string, dim int, node long, n long, v array<double>, leaves array<long>")
+        walked = own.mapInArrow(_walker(trees), f"label string, dim int, node long, n long, v {own.schema['v'].dataType.simpleString()}, leaves array<long>")
         leaves = walked if leaves is None else leaves.unionByName(walked)
     if leaves is None:
         n_of, parts = None, None
@@ -228,7 +250,8 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
 
 def _in_leaves(walked: DataFrame) -> DataFrame:
     """A row for each vector and leaf; for leaves beyond BLOCK, for each pair of blocks that the vector's is part of."""
-    spread = walked.withColumn("leaf", F.explode("leaves"))
+    # a row's leaves are in order; those before this one tell which pairs are counted there
+    spread = walked.select("label", "dim", "node", "n", "v", "leaves", F.posexplode("leaves").alias("at", "leaf")).withColumn("earlier", F.slice("leaves", 1, F.col("at"))).drop("leaves", "at")
     key = ["label", "dim", "leaf"]
     large = shared.written(walked.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*key).count().filter(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "large")
     if large.isEmpty():
@@ -237,7 +260,7 @@ def _in_leaves(walked: DataFrame) -> DataFrame:
         spread = spread.join(large, key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
         spread = spread.withColumn("block", F.pmod(F.col("node"), F.col("k")).cast("int"))
         pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y"))))
-        spread = spread.withColumn("pair", pair).select("label", "dim", "node", "n", "v", "leaves", "leaf", "block", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"))
+        spread = spread.withColumn("pair", pair).select("label", "dim", "node", "n", "v", "earlier", "leaf", "block", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"))
     key += ["x", "y"]
     return spread.repartition(*key).sortWithinPartitions(*key)
 
