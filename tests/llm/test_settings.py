@@ -1,5 +1,6 @@
 """Operators in a session that leaves Spark's settings at their defaults."""
 
+import corpus_pipeline
 import pytest
 
 from flowlens.llm import shared, substring_dedup
@@ -34,3 +35,11 @@ def test_repeated_passages_without_settings(plain):
     docs = cases.frame(plain, [(1, "x " + passage, None, None, 0), (2, passage + " y", None, None, 0)])
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substring_dedup.repeated_bytes(docs).collect()}
     assert got == {1: (0, 0), 2: (len(passage), 1)}
+
+
+def test_fourth_stage_without_settings(plain):
+    passage = "a passage of more than fifty bytes that two documents have alike"
+    docs = cases.frame(plain, [(1, "x " + passage, None, None, 0), (2, passage + " y", None, None, 0)])
+    name, stage = corpus_pipeline.STAGES[3]
+    assert name == "substring_dedup"
+    assert {r["doc_id"]: r["text"] for r in stage(plain, docs, "").collect()} == {1: "x " + passage, 2: " y"}
