@@ -90,23 +90,52 @@ def _sums(weights: np.ndarray, vectors: np.ndarray, rows: np.ndarray, own: np.nd
     return np.bincount(rows, weights[own], n) + 0.5 * ((total * total).sum(axis=1) - squares), total
 
 
+class _Groups:
+    """Sums over the members of each of n groups, a column at a time, with memory that is taken once."""
+
+    def __init__(self, group: np.ndarray, member: np.ndarray, columns: int, n: int):
+        order = np.argsort(group, kind="stable")
+        group, self.member = group[order], member[order].astype(np.intp)
+        self.heads = np.flatnonzero(np.diff(group, prepend=-1))
+        self.own = group[self.heads]
+        self.taken, self.found, self.out = np.empty(len(group)), np.empty(len(self.heads)), np.zeros((columns, n))
+
+    def sums(self, columns: np.ndarray) -> np.ndarray:
+        """columns (k, members) -> (k, groups), valid until the next call."""
+        if len(self.heads):
+            for x, y in zip(columns, self.out):
+                np.take(x, self.member, out=self.taken, mode="clip")
+                y[self.own] = np.add.reduceat(self.taken, self.heads, out=self.found)
+        return self.out
+
+
 def train(rows: np.ndarray, own: np.ndarray, labels: np.ndarray, size: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors by full-batch Adam on the logistic loss; rows and own: (text, term) pairs."""
+    """Bias, weights and vectors by full-batch Adam on the logistic loss; rows and own: (text, term) pairs.
+
+    A step sums, over each text's terms, weights, vectors and their squares, and over each term's texts the slope of the
+    loss and its products with the text's vector; nothing of the size of all pairs' vectors is made.
+    """
     n = len(labels)
     rng = np.random.default_rng(0)
-    p = [np.array([np.log((labels.sum() + 1) / (n - labels.sum() + 1))]), np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))]
+    bias, free = np.array([np.log((labels.sum() + 1) / (n - labels.sum() + 1))]), np.zeros((1 + FACTORS, size))
+    free[1:] = rng.normal(0, 0.05, (size, FACTORS)).T
+    weights, vectors = free[0], free[1:]
+    ridge = np.array([WEIGHT_RIDGE] + [VECTOR_RIDGE] * FACTORS)[:, None]
+    of_text, of_term = _Groups(rows, own, FACTORS + 2, n), _Groups(own, rows, FACTORS + 1, size)
+    p = [bias, free]
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, STEPS + 1):
-        linear, total = _sums(p[1], p[2], rows, own, n)
-        wrong = 1 / (1 + np.exp(-np.clip(p[0] + linear, -30, 30))) - labels
-        by_pair = wrong[rows]
-        vectors = by_pair[:, None] * (total[rows] - p[2][own])
-        slopes = [np.array([wrong.mean()]), np.bincount(own, by_pair, size) / n + WEIGHT_RIDGE * p[1], np.stack([np.bincount(own, vectors[:, f], size) for f in range(FACTORS)], axis=1) / n + VECTOR_RIDGE * p[2]]
-        for k, g in enumerate(slopes):
+        found = of_text.sums(np.concatenate([free, (vectors * vectors).sum(axis=0)[None]]))
+        total = found[1:-1]
+        linear = found[0] + 0.5 * ((total * total).sum(axis=0) - found[-1])
+        wrong = 1 / (1 + np.exp(-np.clip(bias + linear, -30, 30))) - labels
+        slope = of_term.sums(np.concatenate([wrong[None], wrong * total]))
+        slope[1:] -= vectors * slope[0]
+        for k, g in enumerate([np.array([wrong.mean()]), slope / n + ridge * free]):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            p[k] = p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return float(p[0][0]), p[1], p[2]
+            p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return float(bias[0]), weights, np.ascontiguousarray(vectors.T)
 
 
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
