@@ -16,6 +16,8 @@ their UTF-8 bytes; repeated rows are encoded each; an empty table gives an empty
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import heapq
 import re
 import zlib
@@ -38,6 +40,18 @@ MOST_UNITS, MOST_PAIRS = 800_000, 400_000
 _UNIT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for reference cycles: a batch's words are many objects, and none is in a cycle."""
+    usual = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if usual:
+            gc.enable()
+
+
 _CODECS: dict[str, Codec] = {}
 
 #: Where the last piece ends, and the piece.
@@ -64,17 +78,23 @@ class Codec:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
         self.longest = max(map(len, self.ids))
-        #: Ids of units: of those that are a mark and a word, by the word; of others, by all of it.
+        #: Ids of units: of those that begin with a mark, by the rest; of others, by all of it.
         self.words: dict[str, bytes] = {}
         self.unit_ids: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         #: Neighbouring characters within pieces: between any other two nothing merges, and a text's sides are independent.
         self.joins = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
-        #: Length of the longest piece that ends with a character, so that hopeless ends are not tried.
-        self.reach: dict[str, int] = {}
+        #: For each beginning of a piece, the pieces that it ends with, longest first, and at last its last character.
+        self.ends: dict[str, tuple[str, ...]] = {}
         for piece in self.ids:
-            self.reach[piece[-1]] = max(self.reach.get(piece[-1], 1), len(piece))
+            for n in range(1, len(piece) + 1):
+                if (begin := piece[:n]) not in self.ends:
+                    self.ends[begin] = (*(x for k in range(n - 1) if (x := begin[k:]) in self.ids), begin[-1])
+        self.raw = {x: i.to_bytes(4, "little") for x, i in self.ids.items()}
+        self.texts = [x.encode() for x in self.pieces]
+        for b, i in self.bytes.items():
+            self.texts[i] = bytes([b])
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, best score first, leftmost of equals."""
@@ -118,20 +138,36 @@ class Codec:
 
         Pieces start before `end`; paths from one state are unique, so a place has one entry at most.
         """
-        at: dict[int, State] = {}
         start = begin if entry is None else entry[0]
-        at[start] = (-1, "" if entry is None else entry[1])
-        ids, follows = self.ids, self.follows
-        for stop in range(start + 1, min(len(text), end + self.longest - 1) + 1):
-            for n in range(min(self.reach.get(text[stop - 1], 1), stop - start), 0, -1):
-                before = at.get(stop - n)
-                if before is None or stop - n >= end:
+        at: list[State | None] = [(-1, "" if entry is None else entry[1])]
+        self._go_on(text, start, min(len(text), end + self.longest - 1), end, at, [""])
+        return {start + k: state for k, state in enumerate(at) if state is not None}
+
+    def _go_on(self, text: str, start: int, stop: int, end: int, at: list[State | None], begun: list[str]) -> None:
+        """Go on with a scan from `start` up to `stop`. at: the states at start and the places after it, as far as known;
+        begun: at each of these, the longest beginning of a piece that the text since start ends with.
+        """
+        ends, pairs, follows = self.ends, self.pairs, self.follows
+        suffix = begun[-1]
+        for place in range(start + len(at), stop + 1):
+            suffix += text[place - 1]
+            while (pieces := ends.get(suffix)) is None:
+                suffix = suffix[1:]
+                if not suffix:  # a character in which no piece begins
+                    pieces = (text[place - 1],)
+                    break
+            found = None
+            for piece in pieces:
+                before = place - len(piece)
+                state = at[before - start]
+                if state is None or before >= end:
                     continue
-                piece = text[stop - n : stop]
-                if (n == 1 or piece in ids) and (not before[1] or follows(before[1], piece)):
-                    at[stop] = (stop - n, piece)
+                last = state[1]
+                if not last or (ok := pairs[last].get(piece) if last in pairs else None) or (ok is None and follows(last, piece)):
+                    found = (before, piece)
                     break
-        return at
+            at.append(found)
+            begun.append(suffix)
 
     def trace(self, at: dict[int, State], stop: int) -> list[str]:
         """Pieces of the path that ends at stop."""
@@ -189,27 +225,66 @@ class Codec:
         return _UNIT.findall(marked)
 
     def encode_units(self, units: list[str]) -> bytes:
-        out = []
+        get = self._ids_of(set(units)).__getitem__
+        return b"".join(map(get, units))
+
+    def _ids_of(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of each unit, remembered or found now."""
+        joins, words, others = self.joins, self.words, self.unit_ids
+        out: dict[str, bytes] = {}
+        cut: dict[str, list[str]] = {}
+        whole: set[str] = set()
         for unit in units:
-            word = unit[:1] == SPACE_MARK and SPACE_MARK not in unit[1:]
-            known, key = (self.words, unit[1:]) if word else (self.unit_ids, unit)
-            ids = known.get(key)
-            if ids is None:
-                ids = self._unit(unit)
-                if len(unit) <= UNIT:
-                    if len(known) >= MOST_UNITS:
-                        known.clear()
-                    known[key] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _unit(self, unit: str) -> bytes:
-        joins = self.joins
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in joins]
-        if cuts:
-            return self.encode_units([unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
-        pieces = self.long_unit(unit) if len(unit) > UNIT else self.trace(self.scan(unit, 0, len(unit), None), len(unit))
-        return np.array(self.to_ids(pieces), "<u4").tobytes()
+            ids = words.get(unit[1:]) if unit[0] == SPACE_MARK else others.get(unit)
+            if ids is not None:
+                out[unit] = ids
+            elif cuts := [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in joins]:
+                cut[unit] = [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
+            else:
+                whole.add(unit)
+        for part in {x for parts in cut.values() for x in parts} - out.keys():
+            ids = words.get(part[1:]) if part[0] == SPACE_MARK else others.get(part)
+            if ids is not None:
+                out[part] = ids
+            else:
+                whole.add(part)
+        found = self._short([x for x in whole if len(x) <= UNIT])
+        out |= found
+        out |= {x: np.array(self.to_ids(self.long_unit(x)), "<u4").tobytes() for x in whole if len(x) > UNIT}
+        for unit, parts in cut.items():
+            out[unit] = b"".join([out[x] for x in parts])
+            if len(unit) <= UNIT:
+                found[unit] = out[unit]
+        for own in (words, others):
+            if len(own) + len(found) > MOST_UNITS:
+                own.clear()
+        for unit, ids in found.items():
+            if unit[0] == SPACE_MARK:
+                words[unit[1:]] = ids
+            else:
+                others[unit] = ids
+        return out
+
+    def _short(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units of UNIT characters at most. What reaches a place depends on the text up to there alone, so in
+        sorted order each scan goes on from the place up to which the unit before it is the same.
+        """
+        out, raw, before = {}, self.raw, ""
+        at: list[State | None] = [(-1, "")]
+        begun = [""]
+        for unit in sorted(units):
+            same, most = 0, min(len(unit), len(before))
+            while same < most and unit[same] == before[same]:
+                same += 1
+            del at[same + 1 :], begun[same + 1 :]
+            self._go_on(unit, 0, len(unit), len(unit), at, begun)
+            ids, stop = [], len(unit)
+            while stop:
+                stop, piece = at[stop]
+                i = raw.get(piece)
+                ids.append(b"".join(self.bytes[b].to_bytes(4, "little") for b in piece.encode()) if i is None else i)
+            out[unit], before = b"".join(ids[::-1]), unit
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
@@ -217,6 +292,10 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; where single spaces part its words, these are looked up as they are."""
+        with _uncollected():
+            return self._encode_all(texts)
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
         plain = [x.split(" ") if x and "  " not in x and SPACE_MARK not in x and x[0] != " " != x[-1] else None for x in texts]
         seen: set[str] = set()
         for words in plain:
@@ -225,20 +304,14 @@ class Codec:
         if len(self.words) + len(missing) > MOST_UNITS:
             self.words.clear()
             missing = seen
-        found = {x: self._unit(SPACE_MARK + x) for x in missing}
-        self.words.update(found)
+        found = self._ids_of({SPACE_MARK + x for x in missing})
+        self.words.update((x, found[SPACE_MARK + x]) for x in missing)
         get = self.words.__getitem__
         out = [b"".join(map(get, words)) if words else b"" for words in plain]
         return [self.encode(x) if words is None else ids for x, words, ids in zip(texts, plain, out)]
 
     def decode(self, ids: bytes) -> str:
-        raw = bytearray()
-        pieces, as_byte = self.pieces, {i: b for b, i in self.bytes.items()}
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in as_byte:
-                raw.append(as_byte[i])
-            else:
-                raw += pieces[i].encode()
+        raw = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text = raw.decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
