@@ -6,12 +6,13 @@ equal texts are one document here, that of the smallest identifier; the others r
 Each window of WINDOW bytes has an anchor, the least hash of its strings of GRAM bytes, so equal windows have equal
 anchors. Windows in a row with one anchor form a snippet. A window can only occur in two documents if its anchor does:
 tasks send the anchors of a block of documents to the anchors' buckets and get back those seen in two documents. The
-snippets of these go to the buckets, once for each block of documents that has them, however many documents share them.
-There the snippets of each block are a shard with a Burrows-Wheeler transform of its own; merging these by interleave
-refinement gives the intervals of windows with a common prefix of WINDOW bytes, and the smallest identifier in each goes
-back to the blocks. An anchor that more than HOT documents have would fill one task: its windows are not sent to a
-bucket but meet one by one, as keys of an aggregate, so they spread over all tasks. What a block sends is grouped by
-bucket, so rows never number more than the anchors sent, and grow with the text however many blocks and buckets there are.
+snippets of these go to the buckets, once for each block of documents that has them, however many documents share
+them. There the snippets of each block, or of several where they are few, are a shard with a Burrows-Wheeler transform
+of its own; merging these by interleave refinement gives the intervals of windows with a common prefix of WINDOW
+bytes, and the smallest identifier in each goes back to the blocks. An anchor that more than HOT documents have would
+fill one task: its windows are not sent to a bucket but meet one by one, as keys of an aggregate, so they spread over
+all tasks. What a block sends is grouped by bucket, so rows never number more than the anchors sent, and grow with the
+text however many blocks and buckets there are.
 
 Defined cases: a null text is empty; matches are of bytes and may start within a character; rows with one identifier
 are no earlier than each other, and rows with one identifier and text are treated alike; a null identifier counts as
@@ -44,6 +45,8 @@ HOT, HOT_WINDOWS = 1 << 13, 1 << 16
 BLOCK_BYTES, ANCHOR_BYTES, SNIPPET_BYTES = 8 << 20, 4 << 20, 1 << 19
 #: Bytes of snippets that are merged at once; snippets of one anchor stay together.
 MERGED = 1 << 19
+#: Bytes of neighbouring blocks' snippets that are one shard there.
+SHARD = 1 << 14
 #: Bytes of text whose anchors are worked out at once.
 CHUNK = 1 << 17
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -74,6 +77,7 @@ def snippets(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.nd
             span *= 2
         rest = WINDOW - GRAM + 1 - span
         least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        least = least * _MIX[0]  # least hashes are small ones: mixed again, anchors fill all buckets alike
         lengths = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
         begin = np.cumsum(lengths) - lengths
         windows = lengths - WINDOW + 1
@@ -264,6 +268,13 @@ _TOLD_DDL = "block int, anchors binary, numbers binary, least binary, w_number b
 _HOT_TOLD = ["hot", "h_windows", "h_least"]
 
 
+def _joined_shards(blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of shards for strings in order of block: the block's, or one for several blocks of less than SHARD bytes."""
+    heads = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(before[heads] // SHARD, np.diff(np.append(heads, len(blocks))))
+
+
 def _merged(table: pa.Table) -> pa.Table:
     """For each block what it has to know of its snippets in a bucket: the smallest identifier, and of single windows."""
     shared.release_memory()
@@ -297,7 +308,8 @@ def _merged(table: pa.Table) -> pa.Table:
         if held and (size >= MERGED or b == len(order)):
             own = np.array(held)
             own = own[np.argsort(shards[own], kind="stable")]
-            string, offset, low = least_of_windows([strings[i] for i in own.tolist()], least[own], WINDOW, shards[own])
+            pieces = [strings[i] for i in own.tolist()]
+            string, offset, low = least_of_windows(pieces, least[own], WINDOW, _joined_shards(shards[own], np.fromiter(map(len, pieces), np.int64, len(pieces))))
             found.append((own[string], offset, low))
             held, size = [], 0
     string, offset, low = (np.concatenate(x) for x in zip(*found))
