@@ -61,7 +61,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the digest of what they decode to."""
     model = vocabulary("piece_bpe_32k.model")
-    decoded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(shared.table(spark, sf_dir, "documents"), model), model)
+    # a table in between: in one task, encoding and decoding would each take a worker with a vocabulary and its words
+    encoded = shared.written(sentencepiece_codec.encode_documents(shared.table(spark, sf_dir, "documents"), model), "ids")
+    decoded = sentencepiece_codec.decode_documents(encoded, model)
     return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 

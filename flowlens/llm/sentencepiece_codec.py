@@ -296,10 +296,11 @@ class Codec:
             return self._encode_all(texts)
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
-        plain = [x.split(" ") if x and "  " not in x and SPACE_MARK not in x and x[0] != " " != x[-1] else None for x in texts]
+        plain = [bool(x) and "  " not in x and SPACE_MARK not in x and x[0] != " " != x[-1] for x in texts]
         seen: set[str] = set()
-        for words in plain:
-            seen.update(words or ())
+        for x, simple in zip(texts, plain):  # a text's words are held one text at a time
+            if simple:
+                seen.update(x.split(" "))
         missing = seen - self.words.keys()
         if len(self.words) + len(missing) > MOST_UNITS:
             self.words.clear()
@@ -307,8 +308,8 @@ class Codec:
         found = self._ids_of({SPACE_MARK + x for x in missing})
         self.words.update((x, found[SPACE_MARK + x]) for x in missing)
         get = self.words.__getitem__
-        out = [b"".join(map(get, words)) if words else b"" for words in plain]
-        return [self.encode(x) if words is None else ids for x, words, ids in zip(texts, plain, out)]
+        out = [b"".join(map(get, x.split(" "))) if simple else b"" for x, simple in zip(texts, plain)]
+        return [ids if simple else self.encode(x) for x, simple, ids in zip(texts, plain, out)]
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,7 +1,8 @@
-"""What tasks hold at once: buckets of like size, few shards."""
+"""What tasks and workers hold at once: buckets of like size, few shards, one vocabulary for a task."""
 
 import random
 
+import __spark_entry__
 import numpy as np
 
 from flowlens.llm import substring_dedup
@@ -19,3 +20,8 @@ def test_blocks_of_few_snippets_are_one_shard(monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD", 10)
     blocks, sizes = np.array([0, 0, 3, 4, 4, 4, 9]), np.array([4, 4, 3, 30, 2, 2, 5])
     assert substring_dedup._joined_shards(blocks, sizes).tolist() == [0, 0, 0, 1, 1, 1, 4]
+
+
+def test_pieces_are_not_encoded_and_decoded_in_one_task(spark):
+    plan = __spark_entry__.queries()["op10_sentencepiece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
