@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 from .words import slices
 
-#: Parts that a worker remembers; beyond that it starts anew.
-MOST_PARTS = 1_500_000
+#: Parts that a worker remembers: two generations, of which the older goes when the younger is full.
+MOST_PARTS = 700_000
 #: Parts that are encoded as one string.
 _JOINED = 500
 #: Bytes of text that are cut at once.
@@ -73,6 +73,7 @@ class WordEncoder:
         self.ends = np.array([x.endswith("</w>") for x in names])
         self.lengths = np.array([len(x) for x in names])
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Where spaces belong to the part behind them: ids of parts that begin a text.
         self.first: dict[str, bytes] = {}
         self.tails = {x: self._alone(x) for x in _MARKS}
@@ -92,8 +93,8 @@ class WordEncoder:
             self.tokenizer.encode_special_tokens = True
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + 2 * len(parts) > MOST_PARTS:
-            self.parts.clear()
+        if self.parts and len(self.parts) + len(parts) > MOST_PARTS // 2:
+            self.older, self.parts = self.parts, {}
         # after a Latin-1 letter, a mark begins a new word in either vocabulary, so its ids follow those of the part without it
         marked = [x for x in parts if x[-1:] in _MARKS and x[-2:-1].isalpha() and x[-2] < "\u0100"]
         whole = set(parts).difference(marked)
@@ -195,15 +196,19 @@ class WordEncoder:
         get = self.parts.get
         found = {x: get(x) for x in parts}
         if missing := [x for x, ids in found.items() if ids is None]:
-            self._learn(missing)
-            found.update((x, self.parts[x]) for x in missing)
+            seen = {x: self.older[x] for x in missing if x in self.older}
+            self.parts.update(seen)
+            found.update(seen)
+            if missing := [x for x in missing if x not in seen]:
+                self._learn(missing)
+                found.update((x, self.parts[x]) for x in missing)
         return found
 
     def _first(self, part: str) -> bytes:
         if not part:
             return b""
         if part not in self.first:
-            if len(self.first) >= MOST_PARTS // 10:
+            if len(self.first) >= MOST_PARTS // 5:
                 self.first.clear()
             self.first[part] = self._alone(part)
         return self.first[part]

@@ -1,11 +1,12 @@
-"""What tasks and workers hold at once: buckets of like size, few shards, one vocabulary for a task."""
+"""What tasks and workers hold at once: buckets of like size, few shards, bounded stores, one vocabulary for a task."""
 
 import random
 
 import __spark_entry__
 import numpy as np
 
-from flowlens.llm import substring_dedup
+from flowlens.llm import substring_dedup, tokens
+from flowlens.llm.queries import vocabulary
 
 
 def test_anchors_fill_buckets_alike():
@@ -22,6 +23,18 @@ def test_blocks_of_few_snippets_are_one_shard(monkeypatch):
     assert substring_dedup._joined_shards(blocks, sizes).tolist() == [0, 0, 0, 1, 1, 1, 4]
 
 
+def test_store_of_parts_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PARTS", 400)
+    own = tokens.WordEncoder(vocabulary("byte_bpe_50k.json"))
+    often, learned, learn = [f"often{k}" for k in range(50)], [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda parts: learned.extend(parts) or learn(parts))
+    for k in range(40):
+        text = " ".join(["x", *often, *(f"once{k}n{j}" for j in range(30))])
+        assert own.encode([text]) == [own._alone(text)]
+        assert len(own.parts) + len(own.older) <= tokens.MOST_PARTS
+    assert sorted(x for x in learned if x.startswith("often")) == sorted(often)
+
+
 def test_pieces_are_not_encoded_and_decoded_in_one_task(spark):
     plan = __spark_entry__.queries()["op10_sentencepiece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
